@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat
+from notelens.llm import chat, warc
 from notelens.llm.packing import pack
-from notelens.llm.scratch import read_table
+from notelens.llm.scratch import Scratch, read_table
+from notelens.llm.token_count import count_tokens
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +56,36 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
-""".replace("\\\\", "\\")
+"""
+
+
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    Scratch(spark, "token-count")  # the batch size
+    return count_tokens(read_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = warc.archive(read_table(spark, sf_dir, "pages"))
+    return warc.read_archives(index)
+
+
+OP8_SQL = """
+WITH sized AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), kept AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keeper FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM kept
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_chat": op3_chat}
+    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op6_token_count": op6_token_count, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL}
+    return {"op3_chat": OP3_SQL, "op8_warc": OP8_SQL}
