@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelens.llm import chat, warc
+from notelens.llm.bpe_codec import codec_digests
 from notelens.llm.packing import pack
 from notelens.llm.scratch import Scratch, read_table
 from notelens.llm.token_count import count_tokens
@@ -83,8 +84,12 @@ FROM kept
 """
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op6_token_count": op6_token_count, "op8_warc": op8_warc}
+    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op6_token_count": op6_token_count, "op8_warc": op8_warc, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

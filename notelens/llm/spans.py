@@ -111,10 +111,10 @@ class SpanTable:
     """
 
     def __init__(self, learn: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], most: int = 1_000_000):
-        self.learn, self.most, self.bits = learn, most, int(2 * most - 1).bit_length()
-        self._clear()
+        self.learn, self.most, self.bits = learn, most, 17
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.entry = np.zeros(1 << self.bits, np.int32)
         self.known = 0
@@ -154,12 +154,15 @@ class SpanTable:
             return found
         new, first = np.unique(keys[miss], return_index=True)
         if self.known and self.known + len(new) > self.most:
-            self._clear()
+            self.clear()
             return self.entries(raw, starts, ends)
         at = miss[first]
-        if self.known + len(new) > self.most:  # one part alone has more: room for all of them
-            self.bits = int(2 * len(new)).bit_length()
-            self._clear()
+        if 2 * (self.known + len(new)) > 1 << self.bits:
+            used = np.flatnonzero(self.keys)
+            old, entries = self.keys[used], self.entry[used]
+            self.bits = int(3 * (self.known + len(new))).bit_length()
+            self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._insert(old, entries)
         text = raw.tobytes()
         self._add(self.learn([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
         self._insert(new, np.arange(self.known, self.known + len(new), dtype=np.int32))
