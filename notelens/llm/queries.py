@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notelens.llm import chat, warc
 from notelens.llm.bpe_codec import codec_digests
+from notelens.llm.jaccard import near_duplicates
 from notelens.llm.packing import pack
 from notelens.llm.scratch import Scratch, read_table
 from notelens.llm.token_count import count_tokens
@@ -60,6 +61,33 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(y) AS component_id
+FROM documents d JOIN reach ON d.doc_id = x LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     Scratch(spark, "token-count")  # the batch size
@@ -89,8 +117,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op6_token_count": op6_token_count, "op8_warc": op8_warc, "op9_bpe": op9_bpe}
+    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op6_token_count": op6_token_count, "op8_warc": op8_warc, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op8_warc": OP8_SQL}
+    return {"op3_chat": OP3_SQL, "op4_jaccard": OP4_SQL, "op8_warc": OP8_SQL}
