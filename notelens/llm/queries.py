@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat, warc
+from notelens.llm import chat, substring, warc
 from notelens.llm.bpe_codec import codec_digests
 from notelens.llm.jaccard import near_duplicates
 from notelens.llm.packing import pack
@@ -94,6 +94,30 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(read_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM split)
+), again AS (
+  SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM again
+), words AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM split
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS t, count(*) AS n FROM words ANTI JOIN covered ON words.doc_id = covered.doc_id AND words.i = covered.i GROUP BY words.doc_id
+)
+SELECT s.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, _ = warc.archive(read_table(spark, sf_dir, "pages"))
     return warc.read_archives(index)
@@ -117,8 +141,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op6_token_count": op6_token_count, "op8_warc": op8_warc, "op9_bpe": op9_bpe}
+    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op6_token_count": op6_token_count, "op7_substring": op7_substring, "op8_warc": op8_warc, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op4_jaccard": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"op3_chat": OP3_SQL, "op4_jaccard": OP4_SQL, "op7_substring": OP7_SQL, "op8_warc": OP8_SQL}
