@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat, substring, warc
+from notelens.llm import chat, quality, substring, warc
 from notelens.llm.bpe_codec import codec_digests
 from notelens.llm.jaccard import near_duplicates
 from notelens.llm.packing import pack
@@ -20,6 +20,17 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Classifier:
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~quality.held_out(F.col("doc_id")))
+    return quality.fit(docs, labels)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_classifier(spark, sf_dir, docs))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["conv_id", "turn", "role", "text"]
     hard = spark.range(2).select(
@@ -141,7 +152,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op6_token_count": op6_token_count, "op7_substring": op7_substring, "op8_warc": op8_warc, "op9_bpe": op9_bpe}
+    return {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op6_token_count": op6_token_count, "op7_substring": op7_substring, "op8_warc": op8_warc, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notelens.llm.scratch import Scratch
 from notelens.llm.spans import hashed_words, mix, _random
@@ -283,10 +284,8 @@ def removed(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    schema = docs.schema
-    for n in ("n_words", "n_removed"):
-        schema = schema.add(n, "long")
-    return joined.mapInArrow(keep, schema.add("kept", "string"))
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    return joined.mapInArrow(keep, T.StructType([*docs.schema.fields, *more]))
 
 
 def digests(docs: DataFrame) -> DataFrame:
