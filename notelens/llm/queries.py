@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat, quality, substring, warc
+from notelens.llm import chat, near_vectors, quality, substring, warc
 from notelens.llm.bpe_codec import codec_digests
 from notelens.llm.jaccard import near_duplicates
 from notelens.llm.packing import pack
@@ -151,9 +151,30 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM vectors
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), least AS (
+  SELECT x, min(y) AS y FROM reach GROUP BY x
+)
+SELECT x AS vec_id, (SELECT count(*) FROM links WHERE links.x = least.x) AS n_links, y AS component_id, x = y AS kept FROM least
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op6_token_count": op6_token_count, "op7_substring": op7_substring, "op8_warc": op8_warc, "op9_bpe": op9_bpe}
+    return {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op6_token_count": op6_token_count, "op7_substring": op7_substring, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_near_vectors": op10_near_vectors}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op4_jaccard": OP4_SQL, "op7_substring": OP7_SQL, "op8_warc": OP8_SQL}
+    return {"op3_chat": OP3_SQL, "op4_jaccard": OP4_SQL, "op7_substring": OP7_SQL, "op8_warc": OP8_SQL, "op10_near_vectors": OP10_SQL}
