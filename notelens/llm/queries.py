@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat, near_vectors, quality, substring, warc
+from notelens.llm import ann, chat, near_vectors, quality, substring, warc
 from notelens.llm.bpe_codec import codec_digests
 from notelens.llm.jaccard import near_duplicates
 from notelens.llm.packing import pack
@@ -99,6 +99,10 @@ FROM documents d JOIN reach ON d.doc_id = x LEFT JOIN sizes s ON s.doc_id = d.do
 """
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), 20)
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     Scratch(spark, "token-count")  # the batch size
@@ -173,7 +177,7 @@ SELECT x AS vec_id, (SELECT count(*) FROM links WHERE links.x = least.x) AS n_li
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op6_token_count": op6_token_count, "op7_substring": op7_substring, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_near_vectors": op10_near_vectors}
+    return {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_ann": op5_ann, "op6_token_count": op6_token_count, "op7_substring": op7_substring, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_near_vectors": op10_near_vectors}
 
 
 def oracle_sql() -> dict[str, str]:
