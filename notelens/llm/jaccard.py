@@ -10,11 +10,15 @@ sizes ask for beyond what the rest can still give. Candidates are verified on wh
 
 Only components are wanted, so pairs inside known components are never listed: a first turn
 verifies one pair for each node, with the node it shares most prefix tokens with among the
-least nodes of its tokens; a second turn lists the remaining candidates, which lie between
-components, and verifies them all.
+least nodes of its tokens; a second turn takes the remaining candidates, which lie between
+components, and verifies them all. Those that meet only at tokens of few nodes are listed as
+pairs. Nodes that meet at a token of many nodes and several components form groups (connected
+by such tokens); a group's nodes are dealt into blocks of a bounded size, and each pair of
+blocks is verified as a whole, so no pair within a group is ever a row.
 
-The frequency estimate is a sketch of a fixed number of counters over every shingle of every
-document. A node's name is a 64-bit hash of its set, a token's a hash of the shingle.
+The frequency estimate is a sketch over every shingle of every document, with a counter for
+16 words of input up to a fixed number of counters. A node's name is a 64-bit hash of its
+set, a token's a hash of the shingle.
 
 Defined results: null and empty texts have no shingles and link with nothing; repeated rows
 are linked with each other if they have words; a null ``doc_id`` never names a component
@@ -27,27 +31,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelens.llm.graph import components
+from notelens.llm.graph import components, spanning
 from notelens.llm.scratch import Scratch
-from notelens.llm.spans import FOLDED, hashed_words, mix, _random
+from notelens.llm.spans import FOLDED, hashed_words, mix, random_words
 
 WORDS = 5
 #: Similarity NUM / DEN or more.
 NUM, DEN = 3, 4
-SKETCH_BITS, SKETCH_SLICES = 21, 64
+SKETCH_BITS, SKETCH_SLICES = (16, 25), 64
+#: Counters stop here.
+MOST_COUNTED = 65535
 #: Matches a document may ask for.
 MATCHES = np.array([1, 2, 4, 8, 16, 32])
 #: Prefix tokens of one bucket, about; rows that a task holds before it hands them on.
 BUCKET_TOKENS, HELD_TOKENS = 500_000, 2_000_000
 #: Bits of the filter that tells whose sets are wanted.
 FILTER_BITS = 24
-#: Nodes of one token up to which its pairs are listed as a block.
-SMALL_RUN = 64
+#: Nodes of one token up to which its pairs are listed; nodes of a block.
+SMALL_RUN, BLOCK_NODES = 32, 1024
 
-_PLACE = _random(WORDS, 7)
+_PLACE = random_words(WORDS, 7)
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -71,11 +78,23 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(name).view(np.int64)[0])
 
 
-def _scan(docs: DataFrame) -> DataFrame:
+def _place_of(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype("<u2").tobytes(), 1)
+
+
+def _unpacked_counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), "<u2")
+
+
+def _scan(docs: DataFrame, bits: int) -> DataFrame:
     """Kind 0: doc_id, node, n of each document. Kind 1: this task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint32)
         names = ["kind", "doc_id", "node", "n", "slice", "counts"]
         for batch in batches:
             nodes, sizes, held = [], [], []
@@ -84,10 +103,10 @@ def _scan(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 held.append(s)
             if held:
-                sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                np.add.at(sketch, _place_of(np.concatenate(held), bits), np.uint32(1))
             k = len(nodes)
             yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        parts = [p.tobytes() for p in np.split(sketch, SKETCH_SLICES)]
+        parts = [_packed(np.minimum(p, MOST_COUNTED)) for p in np.split(sketch, SKETCH_SLICES)]
         k = len(parts)
         yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
@@ -98,9 +117,8 @@ def _sum_sketch(parts: DataFrame) -> np.ndarray:
     """Sums the tasks' sketches in a tree of up to 64 parts a step; the result has a fixed size."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.uint32).astype(np.uint64) for b in table.column("counts").to_pylist())
-        total = np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
-        return pa.table([table.column("slice")[:1], table.column("part")[:1], pa.array([total.tobytes()], pa.binary())], names=["slice", "part", "counts"])
+        total = sum(_unpacked_counts(b).astype(np.int64) for b in table.column("counts").to_pylist())
+        return pa.table([table.column("slice")[:1], table.column("part")[:1], pa.array([_packed(np.minimum(total, MOST_COUNTED))], pa.binary())], names=["slice", "part", "counts"])
 
     most = parts.agg(F.max("part")).first()[0]
     while True:
@@ -109,7 +127,7 @@ def _sum_sketch(parts: DataFrame) -> np.ndarray:
         most = (most or 0) // 64
         if most == 0:
             break
-    return np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in sorted(parts.collect(), key=lambda r: r["slice"])])
+    return np.concatenate([_unpacked_counts(r["counts"]) for r in sorted(parts.collect(), key=lambda r: r["slice"])])
 
 
 def _rest(n):
@@ -119,7 +137,7 @@ def _rest(n):
 
 def prefix_of(shingles: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np.ndarray, int]:
     """The chosen prefix as order keys (estimate, then hash), and the number in MATCHES of its matches."""
-    estimate = np.minimum(sketch[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], 65535).astype(np.uint64)
+    estimate = sketch[_place_of(shingles, int(len(sketch)).bit_length() - 1)].astype(np.uint64)
     keys = np.sort((estimate << np.uint64(48)) | (mix(shingles) >> np.uint64(16)))
     n = len(keys)
     partners = np.cumsum(np.maximum(0.0, (keys >> np.uint64(48)).astype(np.float64) - 2 * noise - 1))
@@ -238,49 +256,80 @@ def _unpacked(runs: DataFrame) -> DataFrame:
     return runs.filter("kind = 1").select("bucket", "tokens", "nodes", "shapes").mapInArrow(run, "bucket int, token long, node long, shape long")
 
 
-def cross_pairs(root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of one token's nodes that lie in different components, each pair once."""
-    m = len(root)
-    if m <= SMALL_RUN:
-        i, j = np.triu_indices(m, 1)
-        apart = root[i] != root[j]
-        yield i[apart], j[apart]
-        return
-    names, label, size = np.unique(root, return_inverse=True, return_counts=True)
-    minor = np.flatnonzero(label != size.argmax())
-    is_minor = label != size.argmax()
-    for at in range(0, len(minor), max(1, (1 << 20) // m)):
-        part = minor[at : at + max(1, (1 << 20) // m)]
-        i, j = np.repeat(part, m), np.tile(np.arange(m), len(part))
-        apart = (label[i] != label[j]) & (~is_minor[j] | (i < j))
-        yield i[apart], j[apart]
-
-
 def _between(posted: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that share prefix tokens."""
+    """Kind 0: pairs of nodes in different components that meet at a token of few nodes. Kind 1: nodes (a) of a
+    token (b) of many nodes and several components."""
 
     def run(table: pa.Table) -> pa.Table:
         token, node, shape, root = (table.column(c).to_numpy() for c in ("token", "node", "shape", "root"))
         order = np.lexsort((node, token))
         token, node, shape, root = token[order], node[order], shape[order], root[order]
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
-        end = np.append(start[1:], len(token))
+        size = np.diff(np.append(start, len(token)))
         mixed = np.maximum.reduceat(root, start) != np.minimum.reduceat(root, start) if len(start) else np.empty(0, bool)
         parts = [[np.empty(0, np.int64)] * 4]
-        two = mixed & (end - start == 2)
-        i = start[two]
-        blocks = [(i, i + 1)]
-        for a, b in zip(start[mixed & ~two].tolist(), end[mixed & ~two].tolist(), strict=True):
-            blocks += [(a + i, a + j) for i, j in cross_pairs(root[a:b])]
-        for i, j in blocks:
-            ok = _fits(shape[i], shape[j])
+        for m in np.unique(size[mixed & (size <= SMALL_RUN)]).tolist():
+            i, j = np.triu_indices(m, 1)
+            first = start[mixed & (size == m)][:, None]
+            i, j = (first + i).ravel(), (first + j).ravel()
+            ok = (root[i] != root[j]) & _fits(shape[i], shape[j])
             i, j = i[ok], j[ok]
-            swap = node[i] > node[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
             parts.append([node[i], node[j], shape[i], shape[j]])
-        return pa.table(_counted(*(np.concatenate(c) for c in zip(*parts, strict=True))), names=PAIR)
+        pairs = _counted(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        large = np.repeat(mixed & (size > SMALL_RUN), size) if len(size) else np.empty(0, bool)
+        k, many = len(pairs[0]), int(large.sum())
+        name = mix(token[large].astype(np.uint64) + np.uint64(table.column("bucket")[0].as_py() << 32)).view(np.int64)
+        more = [node[large], name, *[np.zeros(many, np.int64)] * 3]
+        return pa.table([pa.array([0] * k + [1] * many, pa.int32()), *(pa.concat_arrays([p.cast(pa.int64()), pa.array(x)]) for p, x in zip(pairs, more, strict=True))], names=["kind", *PAIR])
+
+    return posted.groupBy("bucket").applyInArrow(run, f"kind int, {PAIRS}")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    a, b = np.concatenate(left), np.concatenate(right)
+    row, column = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    shared = np.intersect1d(np.unique(a), np.unique(b))
+    keep_a, keep_b = np.isin(a, shared), np.isin(b, shared)
+    a, row, b, column = a[keep_a], row[keep_a], b[keep_b], column[keep_b]
+    row, column = row[np.argsort(a, kind="stable")], column[np.argsort(b, kind="stable")]
+    edge_a, edge_b = np.searchsorted(np.sort(a), shared).tolist() + [len(a)], np.searchsorted(np.sort(b), shared).tolist() + [len(b)]
+    for k in range(len(shared)):
+        i, j = row[edge_a[k] : edge_a[k + 1]], column[edge_b[k] : edge_b[k + 1]]
+        if len(i) == 1:
+            out[i[0], j] += 1
+        else:
+            out[i[:, None], j] += 1
+    return out
 
-    return posted.groupBy("bucket").applyInArrow(run, PAIRS)
+
+def _blocks(scratch: Scratch, met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) within groups of nodes that meet at tokens of many nodes, as a forest of each pair of blocks."""
+    joined = components(met, scratch, "groups")
+    members = met.select(F.col("a").alias("node")).distinct().join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+    members = scratch.write(members, "members")
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(sets, "node")
+    turns = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    turns = turns.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        i = table.column("i")[0].as_py()
+        left = np.flatnonzero(block == i)
+        right = left if table.column("j")[0].as_py() == i else np.flatnonzero(block != i)
+        label = np.arange(len(node))
+        if len(left) and len(right):
+            shared = overlaps([sets[k] for k in left], [sets[k] for k in right])
+            x, y = np.nonzero(DEN * shared >= NUM * (size[left][:, None] + size[right][None, :] - shared))
+            label = spanning(left[x], right[y], len(node))
+        hung = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table([pa.array(node[hung]), pa.array(node[label[hung]])], names=["a", "b"])
+
+    return turns.groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _asked(pairs: DataFrame) -> Column:
@@ -331,10 +380,12 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are similar."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, nodes)
     with_b = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
 
@@ -356,7 +407,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scanned = scratch.write(_scan(docs), "scan")
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    bits = min(max((words // 16).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    scanned = scratch.write(_scan(docs, bits), "scan")
     base = scanned.filter("kind = 0").select("doc_id", "node", "n")
     sketch = _sum_sketch(scanned.filter("kind = 1").select("slice", "part", "counts"))
     tokens = base.agg(F.sum("n")).first()[0] or 0
@@ -365,17 +418,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     runs = scratch.write(_runs(_postings(docs, spark.sparkContext.broadcast(sketch), float(sketch.mean()), buckets)), "runs")
     led = runs.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("shape_a").alias("shape_a"), F.first("shape_b").alias("shape_b"))
     likely = led.filter(F.col("shared") * 2 >= _asked(led)).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    first = scratch.write(_verified(docs, scratch.write(likely.select("a", "b"), "likely")), "first")
+    likely = scratch.write(likely.select("a", "b"), "likely")
+    first = scratch.write(_verified(likely, _sets(docs, _ends(likely))), "first")
     joined = components(first, scratch, "first-components")
 
     posted = _unpacked(runs).join(joined, "node", "left").select("bucket", "token", "node", "shape", F.coalesce("root", "node").alias("root"))
-    between = _between(posted).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("shape_a").alias("shape_a"), F.first("shape_b").alias("shape_b"))
+    between = scratch.write(_between(posted), "between")
+    pairs = between.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("shape_a").alias("shape_a"), F.first("shape_b").alias("shape_b"))
     # a hash clash within one document may hide one shared token, so one less is let through
-    rest = between.filter((F.col("shared") >= _asked(between)) | ((F.col("shared") > 0) & (F.col("shared") + 1 >= _asked(between)))).select("a", "b")
-    rest = scratch.write(rest.join(scratch.spark.read.parquet(f"{scratch.path}/likely"), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        second = _verified(docs, rest)
-        joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), scratch, "components")
+    rest = scratch.write(pairs.filter(F.col("shared") + 1 >= _asked(pairs)).select("a", "b"), "rest")
+    met = between.filter("kind = 1").select("a", "b")
+    more = []
+    if not rest.isEmpty() or not met.isEmpty():
+        sets = scratch.write(_sets(docs, _ends(rest).unionByName(met.select(F.col("a").alias("node"))).distinct()), "sets")
+        more = [_verified(rest, sets), *([] if met.isEmpty() else [_blocks(scratch, met, sets)])]
+    if more:
+        links = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        for m in more:
+            links = links.unionByName(m)
+        joined = components(links, scratch, "components")
 
     named = base.join(joined, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     named = scratch.write(named, "named")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelens.llm.graph import components
+from notelens.llm.graph import components, spanning
 from notelens.llm.scratch import Scratch
 from notelens.llm.vectors import matrix, takes_part
 
@@ -72,19 +72,6 @@ def count_collisions(queries: np.ndarray, others: np.ndarray, steps: int) -> np.
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least node reachable from each of n nodes over the edges a - b."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _block_links(left: dict, right: dict, same: bool, steps: int, count: int, cosine: float):
     """Positions of linked pairs of two slabs, the right one's after the left one's."""
     for at in range(0, left["lines"].shape[1], QUERIES):
@@ -159,7 +146,7 @@ def _links(nodes: DataFrame, dim: int, cosine: float, scratch: Scratch, tag: str
                     np.add.at(links, far, left["weights"][x])
                     a, b = label[x], label[far]
                     if len(a):
-                        label = _forest(a, b, len(both))[label]
+                        label = spanning(a, b, len(both))[label]
                 some, hung = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(label)))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -18,7 +18,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def _random(n: int, seed: int) -> np.ndarray:
+def random_words(n: int, seed: int) -> np.ndarray:
     """n fixed odd 64-bit values (splitmix64)."""
     x = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 1009)) * np.uint64(0x9E3779B97F4A7C15)
     return mix(x) | np.uint64(1)
@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-PLAIN = _random(256, 1)
+PLAIN = random_words(256, 1)
 #: A-Z count as a-z.
 FOLDED = PLAIN.copy()
 FOLDED[0x41:0x5B] = PLAIN[0x61:0x7B]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notelens.llm.scratch import Scratch
-from notelens.llm.spans import hashed_words, mix, _random
+from notelens.llm.spans import hashed_words, mix, random_words
 
 WINDOW = 35
 LEVELS = (9, 18, WINDOW)
@@ -39,7 +39,7 @@ BUCKET_ANCHORS, HELD_ANCHORS = 200_000, 1_000_000
 #: Only sets the number of buckets.
 BYTES_A_WORD = 6
 
-_BASE = int(_random(1, 11)[0])
+_BASE = int(random_words(1, 11)[0])
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
