@@ -121,7 +121,7 @@ def _ranges(name: np.ndarray, start: np.ndarray, side: np.ndarray) -> tuple[np.n
 
 
 class _Held:
-    """What a task has found: keys and places, handed on in packed arrays by bucket of the first key.
+    """What a task has found: keys and places, handed on in packed arrays by bucket of the anchor.
 
     Places whose keys another place of this task has are settled: they go on as ranges
     (kind 1), with one place without a name (start -1) to stand for them in their bucket.
@@ -130,34 +130,35 @@ class _Held:
     NAMES = ["bucket", "kind", "keys", "rights", "lefts", "names", "starts", "counts", "sides"]
     SCHEMA = "bucket int, kind int, keys binary, rights binary, lefts binary, names binary, starts binary, counts binary, sides binary"
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.rows, self.turn = buckets, [], 0, 0
+    def __init__(self, buckets: int, doubled: bool):
+        self.buckets, self.doubled = buckets, doubled
+        self.parts, self.rows, self.turn = [], 0, 0
 
-    def add(self, keys: np.ndarray, rights: np.ndarray, lefts: np.ndarray, names: np.ndarray, starts: np.ndarray) -> None:
+    def add(self, anchors: np.ndarray, keys: np.ndarray, rights: np.ndarray, lefts: np.ndarray, names: np.ndarray, starts: np.ndarray) -> None:
         if len(keys):
-            self.parts.append((keys, rights, lefts, names, starts))
+            self.parts.append((anchors, keys, rights, lefts, names, starts))
             self.rows += len(keys)
 
     def take(self) -> pa.RecordBatch:
         out: list[tuple] = []
         if self.parts:
-            keys, rights, lefts, names, starts = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+            anchors, keys, rights, lefts, names, starts = (np.concatenate(c) for c in zip(*self.parts, strict=True))
             self.parts, self.rows = [], 0
             count, first = _groups(keys, rights, lefts)
             settled = count > 1
-            sides = (rights > 0).astype(np.uint8) | (lefts > 0).astype(np.uint8) << 1
+            sides = np.maximum((rights > 0).astype(np.uint8) | (lefts > 0).astype(np.uint8) << 1, 1)
             ranges = _ranges(names[settled], starts[settled], sides[settled])
             if len(ranges[0]):
                 self.turn += 1
                 out.append((hash((int(keys[0]), self.turn)) % self.buckets, 1, b"", b"", b"", *(c.tobytes() for c in ranges)))
             starts = np.where(settled, np.int32(-1), starts)
             go = np.flatnonzero(~settled | first)
-            bucket = ((keys[go] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
+            bucket = ((anchors[go] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
             go = go[order := np.argsort(bucket, kind="stable")]
             bucket = bucket[order]
             for b in np.unique(bucket).tolist():
                 i = go[np.searchsorted(bucket, b) : np.searchsorted(bucket, b, side="right")]
-                out.append((b, 0, *(c[i].tobytes() for c in (keys, rights, lefts, names, starts)), b"", b""))
+                out.append((b, 0, keys[i].tobytes(), *(c[i].tobytes() if self.doubled else b"" for c in (rights, lefts)), names[i].tobytes(), starts[i].tobytes(), b"", b""))
         columns = list(zip(*out, strict=True)) if out else [[]] * 9
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns[:2]] + [pa.array(c, pa.binary()) for c in columns[2:]], self.NAMES)
 
@@ -173,6 +174,8 @@ def _match(table: pa.Table, key_type) -> pa.Table:
     keys, rights, lefts = column("keys", 0, key_type), column("rights", 0, np.uint32), column("lefts", 0, np.uint32)
     names, starts = column("names", 0, np.int64), column("starts", 0, np.int32)
     sides = np.zeros(len(keys), np.uint8)
+    if not len(rights) and not len(lefts) and len(keys):
+        sides[_groups(keys)[0] > 1] = 1
     for bit, doubled in ((1, rights), (2, lefts)):
         there = np.flatnonzero(doubled)
         if len(there):
@@ -195,7 +198,7 @@ def _first_levels(rows: DataFrame, buckets: int) -> DataFrame:
     short, double = LEVELS[0], LEVELS[1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(buckets)
+        held = _Held(buckets, True)
         for batch in batches:
             name = batch.column("name").to_numpy()
             for i, j, words, offsets in _batches(batch):
@@ -209,7 +212,7 @@ def _first_levels(rows: DataFrame, buckets: int) -> DataFrame:
                 rights[right] = windows.at(places[right], double).astype(np.uint32) | np.uint32(1)
                 lefts[left] = windows.at(places[left] - (double - short), double).astype(np.uint32) | np.uint32(1)
                 row = np.searchsorted(offsets, places, side="right") - 1
-                held.add(h[places], rights, lefts, name[i:j][row], (places - offsets[row]).astype(np.int32))
+                held.add(h[places], h[places], rights, lefts, name[i:j][row], (places - offsets[row]).astype(np.int32))
             if held.rows >= HELD_ANCHORS:
                 yield held.take()
         yield held.take()
@@ -223,11 +226,11 @@ def _last_level(candidates: DataFrame, buckets: int) -> DataFrame:
     double = LEVELS[1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(buckets)
+        held = _Held(buckets, False)
         for batch in batches:
             name, found = batch.column("name").to_numpy(), batch.column("found").to_pylist()
             for i, j, words, offsets in _batches(batch):
-                starts, chosen, _, windows = anchors_of(words, offsets)
+                starts, chosen, h, windows = anchors_of(words, offsets)
                 open_ = np.zeros((2, len(words)), bool)
                 for k in range(i, j):
                     for part in found[k]:
@@ -237,10 +240,10 @@ def _last_level(candidates: DataFrame, buckets: int) -> DataFrame:
                         open_[0, places[sides & 1 > 0]] = True
                         open_[1, places[sides & 2 > 0]] = True
                 keep = np.where(chosen - starts + double <= WINDOW, open_[0, chosen], open_[1, chosen]) if len(starts) else np.empty(0, bool)
-                starts = starts[keep]
+                starts, chosen = starts[keep], chosen[keep]
                 row = np.searchsorted(offsets, starts, side="right") - 1
-                one = np.ones(len(starts), np.uint32)
-                held.add(windows.at(starts, WINDOW), one, 0 * one, name[i:j][row], (starts - offsets[row]).astype(np.int32))
+                none = np.zeros(len(starts), np.uint32)  # the window itself is the key
+                held.add(h[chosen], windows.at(starts, WINDOW), none, none, name[i:j][row], (starts - offsets[row]).astype(np.int32))
             if held.rows >= HELD_ANCHORS:
                 yield held.take()
         yield held.take()
@@ -261,7 +264,7 @@ def removed(docs: DataFrame) -> DataFrame:
     found = scratch.write(_first_levels(thin, buckets), "found")
     by_name = found.groupBy("name").agg(F.collect_list(F.struct("starts", "counts", "sides")).alias("found"))
     candidates = thin.join(by_name, "name").select("name", "text", "found")
-    again = scratch.write(_last_level(candidates, 8 * buckets), "again")
+    again = scratch.write(_last_level(candidates, 3 * buckets), "again")
     cut = again.groupBy(F.col("name").alias("__name")).agg(F.collect_list(F.struct("starts", "counts")).alias("__starts"))
     joined = named.join(cut, "__name", "left").drop("__name")
     names = docs.columns
