@@ -35,7 +35,7 @@ from notelens.llm.spans import hashed_words, mix, random_words
 WINDOW = 35
 LEVELS = (9, 18, WINDOW)
 #: Anchors of one bucket, about; rows that a task holds before it hands them on.
-BUCKET_ANCHORS, HELD_ANCHORS = 200_000, 1_000_000
+BUCKET_ANCHORS, HELD_ANCHORS = 800_000, 1_000_000
 #: Only sets the number of buckets.
 BYTES_A_WORD = 6
 
