@@ -123,7 +123,9 @@ class Classifier:
         if not texts:
             self.space, self.known = np.zeros((2 * WIDTH, 1)), np.zeros((0, 1))
             return
-        vectors = np.concatenate([weighted(pa.array(texts[i : i + 512], pa.string()), rarity) for i in range(0, len(texts), 512)])
+        vectors = np.empty((len(texts), 2 * WIDTH), np.float32)
+        for i in range(0, len(texts), 256):
+            vectors[i : i + 256] = weighted(pa.array(texts[i : i + 256], pa.string()), rarity)
         self.space = _singular(vectors, min(LATENT, *vectors.shape))
         self.known = latent(vectors, self.space)
 
