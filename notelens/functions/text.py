@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,11 +38,31 @@ ACCENTED, BARE = _accent_map()
 
 
 def fold(c: Column) -> Column:
-    """Lower case with dotted and dotless i as one letter and diacritics dropped (Latin letters and combining marks)."""
+    """Lower case with dotted and dotless i as one letter and diacritics dropped.
+
+    Built-in functions alone: Latin letters that decompose to one letter and marks, and combining
+    marks. ``fold_exact`` covers all of Unicode.
+    """
     low = F.lower(F.translate(c, "İIı", "iii"))
     return F.regexp_replace(F.translate(low, ACCENTED, BARE), r"\p{Mn}+", "")
 
 
+def fold_exact(c: Column) -> Column:
+    """``fold`` for every letter that decomposes, ligatures and fractions too; runs in Python over Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            if v is None:
+                return None
+            low = v.translate(str.maketrans("İIı", "iii")).lower()
+            return "".join(x for x in unicodedata.normalize("NFKD", low) if unicodedata.category(x) != "Mn")
+
+        return values.map(one)
+
+    return run(c)
+
+
 def copy_fold(c: Column) -> Column:
     """The folding of the duplicate analysis: a fixed letter map, then lower case; other diacritics stay."""
     return F.lower(F.translate(c, COPY_FOLD_FROM, COPY_FOLD_TO))
@@ -58,6 +79,24 @@ def tokens(c: Column) -> Column:
     return F.filter(F.flatten(F.transform(runs, of_run)), lambda t: F.length(t) > 1)
 
 
+def token_bag(c: Column) -> Column:
+    """The same tokens as ``tokens`` in another order, folded a text at a time.
+
+    Folding keeps letters letters and marks marks, so runs of the folded text are the folded
+    runs; only runs with an underscore or a change of case are taken apart one by one.
+    """
+    plain = F.regexp_replace(c, SUFFIX, "")
+    folded = F.translate(F.lower(F.translate(plain, "İIı", "iii")), ACCENTED, BARE)
+    whole = F.filter(F.regexp_extract_all(folded, F.lit(f"([{WORD_CHARS}]+)"), 1), lambda t: (F.length(t) > 1) & (F.ltrim(t, F.lit("_")) != ""))
+    special = F.regexp_extract_all(plain, F.lit(f"([{WORD_CHARS}]*(?:_|{CAMEL})[{WORD_CHARS}]*)"), 1)
+
+    def parts(run: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(F.translate(run, "_", " "), CAMEL, " "), " "), lambda p: p != "")
+
+    more = F.flatten(F.transform(special, lambda run: F.when(F.size(parts(run)) > 1, F.transform(parts(run), fold)).otherwise(F.array().cast("array<string>"))))
+    return F.concat(whole, F.filter(more, lambda t: F.length(t) > 1))
+
+
 def copy_words(c: Column) -> Column:
     """Words of the duplicate analysis: folded runs of letters and digits."""
     return F.regexp_extract_all(copy_fold(c), F.lit(r"([\p{L}\p{N}]+)"), 1)

@@ -15,10 +15,11 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("path"), F.least("a", "m").alias("root"))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        keep = DataFrame.persist
-    else:
-        keep = DataFrame.checkpoint
+    shared = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
+
+    def keep(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if shared else df.persist()
+
     labels = keep(labels)
     while True:
         near = both.join(labels.select(F.col("path").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
