@@ -132,8 +132,12 @@ def encode(table: SpanTable, column: pa.Array) -> Iterator[tuple[np.ndarray, byt
             yield ids[a[k] : a[k + 1]], said[b[k] : max(b[k], b[k + 1] - 1)], back[c[k] : c[k + 1]]
 
 
-def frequent_units(docs: DataFrame, most: int) -> list[bytes]:
-    """The units counted most often over all documents, ``most`` at most."""
+def frequent_units(docs: DataFrame, most: int, scratch: Scratch) -> list[bytes]:
+    """The units counted most often over all documents, ``most`` at most.
+
+    A histogram of the counts (some 8 classes for each power of two) gives the least count that
+    leaves ``most`` units or fewer, so only these leave the executors.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -161,8 +165,17 @@ def frequent_units(docs: DataFrame, most: int) -> list[bytes]:
                 counts += np.bincount(entries, minlength=len(counts))
         yield told()
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(most).collect()
-    return [bytes(r["unit"]) for r in rows]
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counted = scratch.write(counted.withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "units")
+    held, least = 0, None
+    for r in counted.groupBy("class").count().orderBy(F.desc("class")).collect():  # a few hundred classes
+        held += r["count"]
+        if held > most:
+            break
+        least = r["class"]
+    rows = counted.filter(F.col("class") >= least).select("unit").collect() if least is not None else []
+    scratch.drop("units")
+    return sorted(bytes(r["unit"]) for r in rows)
 
 
 def write_lexicon(folder: str, data: bytes) -> str:
@@ -185,7 +198,7 @@ def open_lexicon(path: str) -> Lexicon:
 def codec_digests(docs: DataFrame, vocabulary: str, pattern: str, words: int = LEXICON_WORDS) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document, encoded and decoded."""
     scratch = Scratch(docs.sparkSession, "bpe")
-    units = frequent_units(docs, words)
+    units = frequent_units(docs, words, scratch)
     ids, starts = Codec(vocabulary, pattern).encode_units(units)
     lexicon = {u: ids[a:b].tolist() for u, a, b in zip(units, starts[:-1], starts[1:], strict=True)}
     path = write_lexicon(scratch.path, compile_words(lexicon))
