@@ -11,7 +11,7 @@ from notelens.llm.jaccard import near_duplicates
 from notelens.llm.packing import pack
 from notelens.llm.quality import score
 from notelens.llm.queries import quality_classifier
-from notelens.llm.scratch import Scratch, read_table
+from notelens.llm.scratch import Scratch, read_table, split_by
 
 #: A document whose score is lower goes.
 LEAST_SCORE = 0.5
@@ -33,7 +33,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     scratch = Scratch(spark, "pipeline")
     found = scratch.write(near_duplicates(docs), "components")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    clear, rest = split_by(docs, F.xxhash64("doc_id"), gone.select(F.xxhash64("doc_id")))
+    kept = clear.unionByName(rest.join(gone, "doc_id", "left_anti").select(*docs.columns))
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept

@@ -68,16 +68,27 @@ def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key // (2 * WIDTH), key % (2 * WIDTH), count
 
 
-def weighted(column: pa.Array, rarity: np.ndarray) -> np.ndarray:
-    """The weighted term vectors of a batch, each block of unit length (zero for texts without terms)."""
+def _sparse(column: pa.Array, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and weights of a batch, each block of a row of unit length."""
     row, term, count = term_counts(column)
-    out = np.zeros((len(column), 2 * WIDTH), np.float32)
-    out[row, term] = (1 + np.log(count)) * rarity[term]
-    for block, weight in ((out[:, :WIDTH], 1.0), (out[:, WIDTH:], SHAPES)):
-        block *= (weight / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    weight = (1 + np.log(count)) * rarity[term]
+    block = row * 2 + (term >= WIDTH)
+    length = np.sqrt(np.bincount(block, weight**2, 2 * len(column)))
+    weight *= np.where(term >= WIDTH, SHAPES, 1.0) / np.maximum(length[block], 1e-12)
+    return row, term, weight.astype(np.float32)
+
+
+def _dense(n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    out = np.zeros((n, 2 * WIDTH), np.float32)
+    out[row, term] = weight
     return out
 
 
+def weighted(column: pa.Array, rarity: np.ndarray) -> np.ndarray:
+    """The weighted term vectors of a batch (zero for texts without terms)."""
+    return _dense(len(column), *_sparse(column, rarity))
+
+
 def latent(vectors: np.ndarray, space: np.ndarray) -> np.ndarray:
     out = vectors.astype(np.float64) @ space
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
@@ -123,11 +134,10 @@ class Classifier:
         if not texts:
             self.space, self.known = np.zeros((2 * WIDTH, 1)), np.zeros((0, 1))
             return
-        vectors = np.empty((len(texts), 2 * WIDTH), np.float32)
-        for i in range(0, len(texts), 256):
-            vectors[i : i + 256] = weighted(pa.array(texts[i : i + 256], pa.string()), rarity)
-        self.space = _singular(vectors, min(LATENT, *vectors.shape))
-        self.known = latent(vectors, self.space)
+        # rows are made dense a few hundred at a time, so the driver never holds the whole matrix
+        parts = [(n, *_sparse(pa.array(texts[i : i + n], pa.string()), rarity)) for i in range(0, len(texts), 256) for n in [min(256, len(texts) - i)]]
+        self.space = _singular(parts, len(texts), min(LATENT, len(texts)))
+        self.known = np.concatenate([latent(_dense(*p), self.space) for p in parts])
 
     def score(self, column: pa.Array) -> np.ndarray:
         if not len(self.labels):
@@ -141,13 +151,23 @@ class Classifier:
         return np.clip(out, 0.0, 1.0)
 
 
-def _singular(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Leading right singular vectors, by a seeded random range and two power steps."""
-    random = np.random.default_rng(7)
-    base = np.linalg.qr(vectors @ random.standard_normal((vectors.shape[1], min(k + 16, min(vectors.shape))), np.float32))[0]
+def _singular(parts: list[tuple], n: int, k: int) -> np.ndarray:
+    """Leading right singular vectors of the rows in ``parts``, by a seeded random range and two power steps."""
+
+    def times(right: np.ndarray) -> np.ndarray:
+        return np.concatenate([_dense(*p) @ right for p in parts])
+
+    def turned(left: np.ndarray) -> np.ndarray:
+        out, at = np.zeros((2 * WIDTH, left.shape[1]), np.float32), 0
+        for p in parts:
+            out += _dense(*p).T @ left[at : at + p[0]]
+            at += p[0]
+        return out
+
+    base = np.linalg.qr(times(np.random.default_rng(7).standard_normal((2 * WIDTH, min(k + 16, n)), np.float32)))[0]
     for _ in range(2):
-        base = np.linalg.qr(vectors @ np.linalg.qr(vectors.T @ base)[0])[0]
-    return np.linalg.svd(base.T @ vectors, full_matrices=False)[2][:k].T.astype(np.float64).copy()
+        base = np.linalg.qr(times(np.linalg.qr(turned(base))[0]))[0]
+    return np.linalg.svd(turned(base).T, full_matrices=False)[2][:k].T.astype(np.float64).copy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FITTED) -> Classifier:

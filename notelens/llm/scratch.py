@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; a batch is what a Python worker holds at once.
 BATCH_ROWS = 512
@@ -60,3 +61,22 @@ class Scratch:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the filter that tells which rows may have a key; its table has 2**18 rows at most.
+FILTER_BITS = 24
+
+
+def split_by(df: DataFrame, hashed: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` as rows that no key of ``keys`` (one column of hashed longs) can meet, and the others.
+
+    The filter is broadcast and has a fixed size however many keys there are; with too many for
+    it, all rows are others. So a join that few rows have a part in moves only these.
+    """
+    name = keys.columns[0]
+    bit = F.pmod(F.col(name), F.lit(1 << FILTER_BITS))
+    bits = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("__bits"))
+    placed = df.withColumn("__bit", F.pmod(hashed, F.lit(1 << FILTER_BITS)))
+    met = placed.join(F.broadcast(bits), F.shiftright("__bit", 6) == F.col("__word"), "left")
+    may = F.coalesce(F.expr("shiftrightunsigned(__bits, cast(__bit & 63 as int)) & 1L") == 1, F.lit(False))
+    return met.filter(~may).select(*df.columns), met.filter(may).select(*df.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelens.llm.scratch import Scratch
+from notelens.llm.scratch import Scratch, split_by
 from notelens.llm.spans import hashed_words, mix, random_words
 
 WINDOW = 35
@@ -266,7 +266,8 @@ def removed(docs: DataFrame) -> DataFrame:
     candidates = thin.join(by_name, "name").select("name", "text", "found")
     again = scratch.write(_last_level(candidates, 3 * buckets), "again")
     cut = again.groupBy(F.col("name").alias("__name")).agg(F.collect_list(F.struct("starts", "counts")).alias("__starts"))
-    joined = named.join(cut, "__name", "left").drop("__name")
+    clear, rest = split_by(named, F.col("__name"), again.select("name"))
+    joined = clear.withColumn("__starts", F.lit(None).cast(cut.schema["__starts"].dataType)).unionByName(rest.join(cut, "__name", "left")).drop("__name")
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
