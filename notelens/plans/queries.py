@@ -17,6 +17,8 @@ SINGLE = "The retitioning of thorreou, and threea HTTPServer with RAG_VAULT don'
 TODAY = "2026-06-01"
 #: Queries by vector: the vectors of these ids.
 VECTOR_QUERIES = 20
+#: Queries by vector, as many as the table asks for: ids divisible by this.
+QUERY_EVERY = 100
 QUESTIONS = [
     "güncel durum nedir",
     "Şu an neredeyiz?",
@@ -145,6 +147,17 @@ def dense_topk_batch(spark, sf_dir):
     return dense.dense_topk(vectors, queries_, ["vec_id"], 50)
 
 
+@query(
+    f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id, round({_DOT}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % {QUERY_EVERY} = 0)
+SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 50"""
+)
+def dense_topk_every(spark, sf_dir):
+    """The search of ``dense_topk_batch`` for a query set that grows with the table."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries_ = vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return dense.dense_topk(vectors, queries_, ["vec_id"], 50)
+
+
 @query(f"SELECT b.vec_id, round({_DOT}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 7 ORDER BY score DESC, b.vec_id LIMIT 10")
 def dense_topk_single(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")

@@ -3,11 +3,13 @@
 import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from notelens.functions import recency, text
 from notelens.operators import dense, fusion, lexical, serve
+from notelens.plans import queries as queries_of_plans
 
 TODAY = datetime.date(2026, 6, 1)
 
@@ -122,6 +124,30 @@ def test_dense_keeps_every_sign_and_breaks_ties_by_key(spark):
     assert sorted(map(tuple, dense.dense_scores(vectors, q, ["id"]).collect())) == [(0, 0, -1.0), (0, 1, 1.0), (0, 2, 1.0), (0, 3, 0.5)]
 
 
+def test_dense_for_every_hundredth_vector(spark, tmp_path):
+    r = np.random.default_rng(2)
+    v = r.standard_normal((2600, 8)).astype(np.float32)
+    v[700:800] = v[50]  # ties beyond the 50th
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got: dict = {}
+    for row in queries_of_plans.dense_topk_every(spark, str(tmp_path)).collect():
+        got.setdefault(row["qid"], []).append((row["rank"], row["vec_id"], row["score"]))
+    assert sorted(got) == list(range(0, 2600, 100))
+    stated = table.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        blocks = {(x["qid"], x["rank"]): x["vec_id"] for x in dense.dense_topk(table, stated, ["vec_id"], 50, block=7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q, found in got.items():
+        score = np.round(v.astype(float) @ v[q].astype(float), lexical.PLACES)
+        best = np.lexsort((np.arange(2600), -score))[:50]
+        assert [(n, i) for n, i, _ in sorted(found)] == list(enumerate(best.tolist(), 1))
+        assert [s for *_, s in sorted(found)] == pytest.approx(score[best].tolist(), abs=1e-8)
+        assert [blocks[q, n] for n in range(1, 51)] == best.tolist()
+
+
 def test_searcher_modes(spark):
     chunks = spark.createDataFrame([("a.md", 0, "cats purr"), ("b.md", 0, "dogs bark"), ("c.md", 0, "stock market")], "path string, index int, embed_text string")
     embedder = dense.HashEmbedder(32)
