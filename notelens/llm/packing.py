@@ -157,7 +157,10 @@ def _fill(left: np.ndarray, large: int, gap: int, fits) -> list[int] | None:
         if fits([large, a, b]):
             return [large, a, b]
     first = np.flatnonzero(there[: min(gap, large + 1)])[::-1]
-    for a in first[first * 3 >= gap][:64].tolist():
+    first = first[first * 3 >= gap]
+    spectrum = np.fft.rfft(there, 2 * len(there))
+    sums = np.fft.irfft(spectrum * spectrum) > 0.5  # whether two lengths that are there have this sum
+    for a in first[sums[gap - first]].tolist():
         for b, c in pair(gap - a, a):
             if fits([large, a, b, c]):
                 return [large, a, b, c]

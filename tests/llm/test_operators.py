@@ -60,6 +60,16 @@ def test_plan_uses_every_piece_once():
     assert packing.plan(np.zeros(257, int), 256) == []
 
 
+def test_plan_tries_every_first_length():
+    counts = np.zeros(4097, int)
+    counts[3000] = counts[400] = counts[350] = counts[346] = 1
+    counts[401:801:4] = 1  # a hundred longer lengths, none in a pair or triple of 1096
+    made = packing.plan(counts)
+    assert ([3000, 400, 350, 346], 1) in made
+    used = sum(np.bincount(p, minlength=4097) * n for p, n in made)
+    assert (used == counts).all()
+
+
 def test_pack(spark):
     path = P.path("word_bpe_49k.json")
     rows = with_extras([(i, t) for i, t in enumerate(texts(40))] + [(3, texts(40)[3]), (None, "a b"), (99, None), (98, ""), (97, "the cat " * 300)])
