@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelens.llm import substring
-from notelens.llm.jaccard import near_duplicates
+from notelens.llm.jaccard import near_duplicate_rows, text_hash
 from notelens.llm.packing import pack
 from notelens.llm.quality import score
 from notelens.llm.queries import quality_classifier
@@ -28,13 +28,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each near-duplicate component.
 
-    Rows that repeat an id and text are one document. A row without an id stays.
+    Rows that repeat an id and text are one document; rows of one id and different texts are
+    decided each, and of several in one component that of the least hash stays. A row without an id stays.
     """
     scratch = Scratch(spark, "pipeline")
-    found = scratch.write(near_duplicates(docs), "components")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    found = scratch.write(near_duplicate_rows(docs), "components")
+    gone = found.filter("doc_id <> component_id or text_hash <> component_hash").filter("doc_id is not null").select("doc_id", "text_hash").distinct()
     clear, rest = split_by(docs, F.xxhash64("doc_id"), gone.select(F.xxhash64("doc_id")))
-    kept = clear.unionByName(rest.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    rest = rest.withColumn("text_hash", text_hash(F.col("text"))).join(gone, ["doc_id", "text_hash"], "left_anti")
+    kept = clear.unionByName(rest.select(*docs.columns))
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept

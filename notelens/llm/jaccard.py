@@ -91,11 +91,11 @@ def _unpacked_counts(packed: bytes) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, bits: int) -> DataFrame:
-    """Kind 0: doc_id, node, n of each document. Kind 1: this task's part of the sketch."""
+    """Kind 0: doc_id, text_hash, node, n of each document. Kind 1: this task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.uint32)
-        names = ["kind", "doc_id", "node", "n", "slice", "counts"]
+        names = ["kind", "doc_id", "text_hash", "node", "n", "slice", "counts"]
         for batch in batches:
             nodes, sizes, held = [], [], []
             for s in shingle_sets(batch.column("text")):
@@ -105,12 +105,12 @@ def _scan(docs: DataFrame, bits: int) -> DataFrame:
             if held:
                 np.add.at(sketch, _place_of(np.concatenate(held), bits), np.uint32(1))
             k = len(nodes)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         parts = [_packed(np.minimum(p, MOST_COUNTED)) for p in np.split(sketch, SKETCH_SLICES)]
         k = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, node long, n long, slice int, counts binary").withColumn("part", F.spark_partition_id())
+    return docs.mapInArrow(run, "kind int, doc_id long, text_hash long, node long, n long, slice int, counts binary").withColumn("part", F.spark_partition_id())
 
 
 def _sum_sketch(parts: DataFrame) -> np.ndarray:
@@ -404,13 +404,23 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document."""
+    return near_duplicate_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def text_hash(text: Column) -> Column:
+    """What tells texts of one ``doc_id`` apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, component_hash``: each row, and the least row of its component."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash(F.col("text")).alias("text_hash"))
     words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = min(max((words // 16).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
     scanned = scratch.write(_scan(docs, bits), "scan")
-    base = scanned.filter("kind = 0").select("doc_id", "node", "n")
+    base = scanned.filter("kind = 0").select("doc_id", "text_hash", "node", "n")
     sketch = _sum_sketch(scanned.filter("kind = 1").select("slice", "part", "counts"))
     tokens = base.agg(F.sum("n")).first()[0] or 0
     buckets = min(1 << 30, tokens * (DEN - NUM) // DEN // BUCKET_TOKENS + 1)
@@ -438,7 +448,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links = links.unionByName(m)
         joined = components(links, scratch, "components")
 
-    named = base.join(joined, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    named = base.join(joined, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
     named = scratch.write(named, "named")
-    least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    least = named.filter("root is not null").groupBy("root").agg(F.min(row).alias("least"))
+
+    def of_component(name: str) -> Column:
+        return F.when(F.col("n") > 0, F.col(f"least.{name}")).otherwise(F.col(name))
+
+    return named.join(least, "root", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), of_component("doc_id").alias("component_id"), of_component("text_hash").alias("component_hash"))

@@ -31,3 +31,15 @@ def test_repeated_rows_are_one(spark):
     docs = spark.createDataFrame([(1, text, "en", "s", 9), (1, text, "en", "s", 9), (2, text + " x", "en", "s", 9), (3, None, "en", "s", 0), (3, "", "en", "s", 0)], spark.read.parquet(f"{SF}/documents.parquet").schema)
     kept = corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()
     assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, text), (3, ""), (3, "")]
+
+
+def test_rows_of_one_id_are_decided_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b), (5, b), (5, a), (7, c), (7, c + " x"), (8, c + " y"), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()]
+    assert sorted(x for x in kept if x[0] not in (None, 7)) == [(3, b), (5, a)]
+    assert (None, b) in kept and len([x for x in kept if x[0] == 7]) == 1
+    # one id on top of two components: each keeps its own row
+    docs = docs.filter("doc_id = 5").unionByName(docs.filter("doc_id = 8"))
+    assert len(corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()) == 3
