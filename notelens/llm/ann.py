@@ -4,6 +4,7 @@ The tree is fitted on a bounded sample; every row is dealt to a leaf. A query wa
 with a priority queue of bins, the bin whose centre has the largest inner product first, and
 visits as many leaves as calibration asks for: visits are widened, over calibration queries
 whose neighbours are known from all rows by brute force, until the recall wanted is reached.
+Where these leaves hold fewer rows than are asked for, the walk goes on until they do.
 Queries meet the rows of a leaf in blocks; large leaves, and leaves that many queries visit,
 are split among tasks.
 
@@ -73,13 +74,14 @@ class Tree:
             stack += [(child, at[own == k]) for k, child in enumerate(node[1])]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of the best bin first."""
-        queue, found, order = [(0.0, 0, self.root)], [], 0
-        while queue and len(found) < most:
+    def visits(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order of the best bin first: ``most``, or more until they hold ``least`` rows by ``held``."""
+        queue, found, order, rows = [(0.0, 0, self.root)], [], 0, 0
+        while queue and (len(found) < most or rows < least):
             _, _, node = heapq.heappop(queue)
             if isinstance(node, int):
                 found.append(node)
+                rows += int(held[node]) if held is not None else least
                 continue
             for score, child in zip(node[0] @ query, node[1], strict=True):
                 order += 1
@@ -182,12 +184,17 @@ def search(rows: DataFrame, every: int, k: int = NEIGHBOURS, recall: float = REC
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.visits(q, visits) for q in matrix(batch.column("v"), dim)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
+            queries, own = matrix(batch.column("v"), dim), batch.column("own").to_numpy()
+            found = [shared.value.visits(q, visits, held, k + int(n)) for q, n in zip(queries, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
 
     kind = valid.schema["v"].dataType.simpleString()
     dealt = scratch.write(valid.mapInArrow(deal, f"vec_id long, v {kind}, leaf int"), "dealt")
-    asked = valid.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    held = np.zeros(tree.leaves, np.int64)
+    for r in dealt.groupBy("leaf").count().collect():  # a row for each leaf
+        held[r["leaf"]] = r["count"]
+    # rows of a query's own id are no candidates
+    asked = valid.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     walked = scratch.write(asked.mapInArrow(walk, f"vec_id long, v {kind}, leaves array<int>"), "walked")
     met = walked.select("vec_id", "v", F.explode("leaves").alias("leaf"))
     parts = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("row_parts"))

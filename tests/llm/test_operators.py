@@ -204,6 +204,19 @@ def test_ann(spark):
     assert len(ann.search(table.filter("vec_id < 5"), 20).collect()) == 4
 
 
+def test_ann_goes_on_past_small_leaves(spark, monkeypatch):
+    # clusters of 4 rows in directions of their own: what calibration asks for holds fewer than 20 rows
+    monkeypatch.setattr(ann, "calibrate", lambda *_: 1)
+    r = np.random.default_rng(6)
+    centres = 50 * np.eye(60)
+    v = np.repeat(centres, 4, axis=0) + 0.01 * r.standard_normal((240, 60))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(20, v[20].tolist())] * 22
+    found: dict = {}
+    for row in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20).collect():
+        found.setdefault(row["query_id"], []).append(row["vec_id"])
+    assert sorted(found) == list(range(0, 240, 20)) and all(len(x) == 20 and q not in x for q, x in found.items())
+
+
 # --- 6 token counts ---
 
 
