@@ -487,11 +487,11 @@ def noise_hubs(spark, sf_dir):
 # --- evaluation --------------------------------------------------------------------------
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Questions of three words of every 11th note, which is what they expect; half expect its folder."""
+def _labelled(spark: SparkSession, sf_dir: str, every: int = 11) -> tuple[DataFrame, DataFrame]:
+    """Questions of three words of every 11th (or so) note, which is what they expect; half expect its folder."""
     notes = notes_of(spark, sf_dir)
     w = text.blank_split(F.col("text"))
-    few = notes.filter((F.col("doc_id") % 11 == 0) & (F.size(w) >= 9))
+    few = notes.filter((F.col("doc_id") % every == 0) & (F.size(w) >= 9))
     expected = F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.substring_index("path", "/", 2), F.lit("/")))
     return notes, few.select(F.col("doc_id").alias("qid"), F.array_join(F.slice(w, 4, 3), " ").alias("text"), F.array(expected).alias("expected"))
 
@@ -503,8 +503,12 @@ hit AS (SELECT qid, min(rank) AS rank FROM top JOIN asked USING (qid) WHERE path
 ranks AS (SELECT asked.qid, hit.rank FROM asked LEFT JOIN hit USING (qid))"""
 
 
-def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes, asked = _labelled(spark, sf_dir)
+#: The same with a question from every note.
+_EVAL_ALL = _EVAL.replace(" WHERE doc_id % 11 = 0", "")
+
+
+def _ranks(spark: SparkSession, sf_dir: str, every: int = 11) -> DataFrame:
+    notes, asked = _labelled(spark, sf_dir, every)
     return evaluate.eval_ranks(lexical.bm25_topk(notes, asked, ["path"], evaluate.DEPTH), asked)
 
 
@@ -513,6 +517,11 @@ def eval_ranks(spark, sf_dir):
     return _ranks(spark, sf_dir)
 
 
+@query(f"{_EVAL_ALL} SELECT qid, rank FROM ranks")
+def eval_ranks_all(spark, sf_dir):
+    return _ranks(spark, sf_dir, 1)
+
+
 @query(
     f"""{_EVAL} SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS hit5,
 round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM ranks"""
@@ -521,6 +530,14 @@ def eval_metrics(spark, sf_dir):
     return evaluate.eval_metrics(_ranks(spark, sf_dir)).select("n", *[F.round(c, 9).alias(c) for c in ("hit1", "hit5", "mrr")])
 
 
+@query(
+    f"""{_EVAL_ALL} SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS hit5,
+round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM ranks"""
+)
+def eval_metrics_all(spark, sf_dir):
+    return evaluate.eval_metrics(_ranks(spark, sf_dir, 1)).select("n", *[F.round(c, 9).alias(c) for c in ("hit1", "hit5", "mrr")])
+
+
 def _run(offset: int) -> Column:
     place = (F.col("item_id") * 31 + offset) % 13
     return F.when(place < 10, place + 1)

@@ -148,6 +148,13 @@ def test_dense_for_every_hundredth_vector(spark, tmp_path):
         assert [blocks[q, n] for n in range(1, 51)] == best.tolist()
 
 
+def test_every_long_note_is_asked_from(spark, tmp_path):
+    rows = [(i, " ".join(f"n{i}w{j}" for j in range(8 + i % 2)), "en", "s", 9) for i in range(23)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["qid"]: r["rank"] for r in queries_of_plans.eval_ranks_all(spark, str(tmp_path)).collect()}
+    assert got == {i: 1 for i in range(1, 23, 2)}
+
+
 def test_searcher_modes(spark):
     chunks = spark.createDataFrame([("a.md", 0, "cats purr"), ("b.md", 0, "dogs bark"), ("c.md", 0, "stock market")], "path string, index int, embed_text string")
     embedder = dense.HashEmbedder(32)
