@@ -178,6 +178,29 @@ def test_pool_ignores_padding():
     assert np.allclose(dense.pool(hidden, np.array([[1, 0]])), [[0.6, 0.8]])
 
 
+def test_reranker_scores_pairs_in_order(spark, tmp_path):
+    def fake_reranker():
+        """Logits are sums of the unmasked ids of the second text."""
+        from types import SimpleNamespace as Fake
+
+        def encode(q, p):
+            a, b = ([len(w) for w in x.split()] for x in (q, p))
+            return Fake(ids=a + b, type_ids=[0] * len(a) + [1] * len(b))
+
+        names = ("input_ids", "attention_mask", "token_type_ids")
+        session = Fake(get_inputs=lambda: [Fake(name=n) for n in names], run=lambda _, f: [(f["input_ids"] * f["attention_mask"] * f["token_type_ids"]).sum(axis=1)[:, None]])
+        return dense.OnnxReranker(session, Fake(encode=encode, enable_truncation=lambda **_: None, token_to_id=lambda _: 77), batch=2)
+
+    passages = ["a bb ccc", "", "dddd", "e e e e e", "ff"]
+    assert fake_reranker().score([("some query", p) for p in passages]).tolist() == [6, 0, 4, 5, 2]
+    rows = spark.createDataFrame([("some query", p) for p in passages] + [(None, None)], "q string, p string")
+    got = {r["p"]: r["s"] for r in rows.select("p", dense.logit_column(fake_reranker)("q", "p").alias("s")).collect() if r["p"] is not None}
+    assert got == dict(zip(passages, [6, 0, 4, 5, 2], strict=True))
+    assert dense.load_reranker(None) is None and dense.load_reranker(str(tmp_path)) is None
+    with pytest.raises(FileNotFoundError):
+        dense.load_reranker(str(tmp_path), required=True)
+
+
 def test_response(spark):
     notes = spark.createDataFrame([(0, "a/2026-01-02 t.md", 0.123456, [(1, 0.1), (0, 0.05)], 1)], "qid int, path string, score double, hits array<struct<index:int,score:double>>, rank int")
     chunks = spark.createDataFrame([("a/2026-01-02 t.md", 0, "", "first", 0), ("a/2026-01-02 t.md", 1, "H", "x" * 700, 0)], "path string, index int, heading_path string, text string, parent_id int")
