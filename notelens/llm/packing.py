@@ -2,9 +2,9 @@
 
 The plan is made from the histogram of piece lengths alone, which has at most ``limit``
 entries however large the corpus is. Lengths are taken from the largest down; gaps are
-filled exactly by one, two or three shorter lengths found through their sums, many
-sequences at a time under the counts that are left. What no exact combination fills goes
-best-fit into the smallest gap that takes it. The plan is a table of rank intervals for
+filled exactly by one, two or three lengths found in an index of their sums, many sequences
+at a time under the counts that are left. What no exact combination fills goes best-fit into
+the smallest gap that takes it. The plan is a table of rank intervals for
 each length; every piece gets its rank within its length by salted counting and looks its
 place up, so no task ever holds a length's whole group.
 
@@ -32,6 +32,8 @@ LIMIT = 4096
 END_ID = 1
 #: Words a worker remembers the ids of, before it starts anew.
 MEMO_WORDS = 1_000_000
+#: A plan is good enough if it has this share of sequences more than its tokens ask for.
+CLOSE = 0.0005
 #: Pieces of one salt bucket, about; ranks are counted within buckets.
 BUCKET_ROWS = 50_000
 
@@ -106,65 +108,116 @@ def pieces_of(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def plan(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[list[int], int]]:
-    """From pieces per length (index 0 to ``limit``) to (lengths of a sequence, sequences made so)."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    made: list[tuple[list[int], int]] = []
-    open_: list[tuple[list[int], int]] = []  # sequences that no combination filled
+class Sums:
+    """Pieces left of each length, with an index of the sums of one, two and three of them.
 
-    def use(parts: list[int]) -> None:
-        need = np.bincount(parts, minlength=limit + 1)
-        times = int((left[need > 0] // need[need > 0]).min())
-        left[:] -= need * times
-        made.append((parts, times))
+    ``left`` is the index of single lengths. ``pairs[s]`` counts the pairs of lengths with sum s
+    that the pieces left allow; it is updated whenever a length's count passes 2, 1 or 0. A triple
+    is a length and a pair sum, looked up for all first lengths at once. Nothing is capped: a
+    gap that one, two or three pieces fill is always found.
+    """
 
-    def fits(parts: list[int]) -> bool:
-        need = np.bincount(parts, minlength=limit + 1)
-        return bool((left >= need).all())
+    def __init__(self, counts: np.ndarray, limit: int):
+        self.limit, self.left = limit, np.zeros(limit + 1, np.int64)
+        self.pairs = np.zeros(2 * limit + 1, np.int64)
+        for length in np.flatnonzero(counts):
+            if length:
+                self.set(int(length), int(counts[length]))
+
+    def set(self, length: int, count: int) -> None:
+        """Changes a length's count, and the pairs that this adds or takes away."""
+        before = min(int(self.left[length]), 2)
+        self.left[length] = count
+        after = min(count, 2)
+        if (before > 0) != (after > 0):
+            others = np.flatnonzero(self.left)
+            self.pairs[length + others[others != length]] += 1 if after else -1
+        if (before > 1) != (after > 1):
+            self.pairs[2 * length] += 1 if after > 1 else -1
+
+    def take(self, parts: list[int], times: int = 1) -> None:
+        for p in parts:
+            self.set(p, int(self.left[p]) - times)
 
-    for large in range(limit, 0, -1):
-        if left[large] and large == limit:
-            use([large])
-        while left[large] and large < limit:
-            parts = _fill(left, large, limit - large, fits)
-            if parts is None:
-                open_.append(([large], int(left[large])))
-                left[large] = 0
-                break
-            use(parts)
-    return made + _best_fit(open_, limit)
+    def pair(self, total: int) -> list[int]:
+        """Two lengths of that sum, the larger one as large as can be; empty if there are none."""
+        if total < 2 or not self.pairs[total]:
+            return []
+        a = np.arange(min(total - 1, self.limit), (total + 1) // 2 - 1, -1)
+        fit = (self.left[a] > 0) & (self.left[total - a] > (2 * a == total))
+        large = int(a[np.argmax(fit)])
+        return [large, total - large]
+
+    def triple(self, total: int) -> list[int]:
+        """Three lengths of that sum, the first as large as can be; empty if there are none."""
+        a = np.arange(1, min(total - 2, self.limit) + 1)
+        a = a[self.left[a] > 0]
+        if not len(a):
+            return []
+        rest = total - a
+        # pairs that the first length itself is needed for, once it is taken
+        other = rest - a
+        there = (other > 0) & (other <= self.limit)
+        others = self.left[np.where(there, other, 0)] * there
+        lost = np.where(other == a, self.left[a] == 2, (self.left[a] == 1) & (others > 0))
+        fit = self.pairs[rest] - lost > 0
+        if not fit.any():
+            return []
+        first = int(a[fit][-1])
+        self.take([first])
+        found = self.pair(total - first)
+        self.take([first], -1)
+        return [first, *found]
+
+    def filling(self, gap: int, most: int = 3) -> list[int]:
+        """One, two or three lengths (``most`` at most) of sum ``gap``; empty if there are none."""
+        if not gap or not most:
+            return []
+        if self.left[gap]:
+            return [gap]
+        return (self.pair(gap) if most > 1 else []) or (self.triple(gap) if most > 2 else [])
 
 
-def _fill(left: np.ndarray, large: int, gap: int, fits) -> list[int] | None:
-    """``large`` with one, two or three lengths whose sum is exactly ``gap``, or None."""
-    if gap <= large and left[gap] and fits([large, gap]):
-        return [large, gap]
-    there = left > 0
-    there[large + 1 :] = False
+def plan(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[list[int], int]]:
+    """From pieces per length (index 0 to ``limit``) to (lengths of a sequence, sequences made so).
 
-    def pair(total: int, most: int) -> list[tuple[int, int]]:
-        """Largest first: a >= b with a + b = total, both there."""
-        high = min(total - 1, most)
-        low = (total + 1) // 2
-        if high < low:
-            return []
-        a = np.arange(high, low - 1, -1)
-        a = a[there[a] & there[total - a]]
-        return [(int(x), int(total - x)) for x in a[:3]]
-
-    for a, b in pair(gap, large):
-        if fits([large, a, b]):
-            return [large, a, b]
-    first = np.flatnonzero(there[: min(gap, large + 1)])[::-1]
-    first = first[first * 3 >= gap]
-    spectrum = np.fft.rfft(there, 2 * len(there))
-    sums = np.fft.irfft(spectrum * spectrum) > 0.5  # whether two lengths that are there have this sum
-    for a in first[sums[gap - first]].tolist():
-        for b, c in pair(gap - a, a):
-            if fits([large, a, b, c]):
-                return [large, a, b, c]
-    return None
+    Triples may use up short lengths that long residuals need: where a plan with them is not
+    within ``CLOSE`` of what the sum of lengths asks for, plans of fewer parts are made as well,
+    and the one of fewest sequences counts.
+    """
+    lengths = np.arange(limit + 1)
+    least = max(-(-int((counts * lengths).sum()) // limit), int(counts[lengths * 2 > limit].sum()))
+    best, fewest = [], None
+    for most in (3, 2, 1, 0):
+        made = _plan(counts, limit, most)
+        n = sum(times for _, times in made)
+        if fewest is None or n < fewest:
+            best, fewest = made, n
+        if fewest <= least * (1 + CLOSE) + 1:
+            break
+    return best
+
+
+def _plan(counts: np.ndarray, limit: int, most: int) -> list[tuple[list[int], int]]:
+    """The plan whose gaps are filled by ``most`` lengths at most."""
+    sums = Sums(counts, limit)
+    made: list[tuple[list[int], int]] = []
+    open_: list[tuple[list[int], int]] = []  # sequences that no combination filled
+    for large in range(limit, 0, -1):
+        while sums.left[large]:
+            sums.take([large])
+            parts = sums.filling(limit - large, most)
+            sums.take([large], -1)
+            if large < limit and not parts:
+                open_.append(([large], int(sums.left[large])))
+                sums.set(large, 0)
+                break
+            parts = [large, *parts]
+            need = np.bincount(parts, minlength=limit + 1)
+            times = int((sums.left[need > 0] // need[need > 0]).min())
+            sums.take(parts, times)
+            made.append((parts, times))
+    return made + _best_fit(open_, limit)
 
 
 def _best_fit(open_: list[tuple[list[int], int]], limit: int) -> list[tuple[list[int], int]]:
