@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from notelens.llm import bpe
 from notelens.llm.lexicon import Lexicon, compile_words
-from notelens.llm.scratch import Scratch
+from notelens.llm.scratch import Scratch, sliced
 from notelens.llm.spans import BLANK, SpanTable, parts_of, text_bytes
 
 #: Words of the lexicon.
@@ -206,7 +206,7 @@ def codec_digests(docs: DataFrame, vocabulary: str, pattern: str, words: int = L
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary, pattern, open_lexicon(path))
         table = SpanTable(codec.learn, MEMO_UNITS)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, told, decoded = [], [], []
             for ids, said, back in encode(table, batch.column("text")):
                 sizes.append(len(ids))

@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelens.llm.graph import components, spanning
-from notelens.llm.scratch import Scratch
-from notelens.llm.spans import FOLDED, hashed_words, mix, random_words
+from notelens.llm.scratch import Scratch, filter_bits
+from notelens.llm.spans import hashed_words, mix, random_words
 
 WORDS = 5
 #: Similarity NUM / DEN or more.
@@ -49,8 +49,8 @@ MOST_COUNTED = 65535
 MATCHES = np.array([1, 2, 4, 8, 16, 32])
 #: Prefix tokens of one bucket, about; rows that a task holds before it hands them on.
 BUCKET_TOKENS, HELD_TOKENS = 500_000, 2_000_000
-#: Bits of the filter that tells whose sets are wanted.
-FILTER_BITS = 24
+#: Postings in one packed row.
+PACKED = 1 << 16
 #: Nodes of one token up to which its pairs are listed; nodes of a block.
 SMALL_RUN, BLOCK_NODES = 32, 1024
 
@@ -59,7 +59,7 @@ _PLACE = random_words(WORDS, 7)
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    h, at = hashed_words(column, FOLDED)
+    h, at = hashed_words(column, True)
     total = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
     for k in range(WORDS):
         total += h[k : k + len(total)] * _PLACE[k]
@@ -232,12 +232,12 @@ def _runs(postings: DataFrame) -> DataFrame:
         pick = np.flatnonzero(~start)
         pick = pick[_fits(s[pick], s[lead[pick]])]
         pairs = _counted(x[lead[pick]], x[pick], s[lead[pick]], s[pick])
-        k = len(pairs[0])
-        bucket = table.column("bucket")[0].as_py()
+        k, cuts = len(pairs[0]), range(0, len(t), PACKED)
+        m, bucket = len(cuts), table.column("bucket")[0].as_py()
         return pa.table(
-            [pa.array([0] * k + [1], pa.int32()), pa.array([bucket] * (k + 1), pa.int32())]
-            + [pa.concat_arrays([p.cast(pa.int64()), pa.nulls(1, pa.int64())]) for p in pairs]
-            + [pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array([v.tobytes()], pa.binary())]) for v in (t, x, s)],
+            [pa.array([0] * k + [1] * m, pa.int32()), pa.array([bucket] * (k + m), pa.int32())]
+            + [pa.concat_arrays([p.cast(pa.int64()), pa.nulls(m, pa.int64())]) for p in pairs]
+            + [pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array([v[c : c + PACKED].tobytes() for c in cuts], pa.binary())]) for v in (t, x, s)],
             names=["kind", "bucket", *PAIR, "tokens", "nodes", "shapes"],
         )
 
@@ -249,9 +249,7 @@ def _unpacked(runs: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 token, node, shape = (np.frombuffer(r[k], kind) for k, kind in (("tokens", np.uint32), ("nodes", np.int64), ("shapes", np.uint32)))
-                for i in range(0, len(token), 1 << 16):
-                    part = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]] * len(token[part]), pa.int32()), pa.array(token[part].astype(np.int64)), pa.array(node[part]), pa.array(shape[part].astype(np.int64))], ["bucket", "token", "node", "shape"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), r["bucket"], np.int32)), pa.array(token.astype(np.int64)), pa.array(node), pa.array(shape.astype(np.int64))], ["bucket", "token", "node", "shape"])
 
     return runs.filter("kind = 1").select("bucket", "tokens", "nodes", "shapes").mapInArrow(run, "bucket int, token long, node long, shape long")
 
@@ -350,11 +348,12 @@ def _asked(pairs: DataFrame) -> Column:
 
 
 def _wanted_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each wanted node's hash; 2**FILTER_BITS bits however many there are."""
-    words = nodes.select(F.pmod("node", F.lit(1 << FILTER_BITS)).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for r in words.toArrow().to_pylist():
-        out[r["word"]] = r["bits"]
+    """A bit for each wanted node's hash; as many as the nodes ask for, up to a fixed size."""
+    bits = filter_bits(nodes.count())
+    words = nodes.select(F.pmod("node", F.lit(1 << bits)).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    found = words.toArrow()  # 2**23 rows at most
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
@@ -364,12 +363,13 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = bits.value, set()
+        size = 32 * len(wanted)
         for batch in batches:
             names, sets = [], []
             for s in shingle_sets(batch.column("text")):
                 if len(s):
                     name = node_of(s)
-                    bit = name % (1 << FILTER_BITS)
+                    bit = name % size
                     if int(wanted[bit >> 5]) >> (bit & 31) & 1 and name not in seen:
                         seen.add(name)
                         names.append(name)
@@ -448,10 +448,13 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
             links = links.unionByName(m)
         joined = components(links, scratch, "components")
 
-    named = base.join(joined, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
+    # documents without words are their own roots, so that no key is shared by all of them
+    alone = F.when(F.col("n") == 0, F.xxhash64("doc_id", "text_hash", F.lit("alone")))
+    named = base.join(joined, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "node", alone).alias("root"))
     named = scratch.write(named, "named")
+    scratch.keep("named")
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
-    least = named.filter("root is not null").groupBy("root").agg(F.min(row).alias("least"))
+    least = named.filter("n > 0").groupBy("root").agg(F.min(row).alias("least"))
 
     def of_component(name: str) -> Column:
         return F.when(F.col("n") > 0, F.col(f"least.{name}")).otherwise(F.col(name))

@@ -10,8 +10,9 @@ exactly in double precision, and the nearest vote with their similarity as weigh
 Defined results: null and empty texts have no terms and get the share of label 1 among the
 fitted rows; ties between neighbours go to the row that was fitted first (by hash of the id,
 then id); without labelled rows every score is 0.5; a row labelled more than once takes part
-with each label; repeated rows are scored each; an empty table gives no rows; extra columns
-are passed through by ``score`` and play no part.
+with each label; of rows that repeat an id one is learnt from (the least hash of the text); a
+label other than 0 and 1 is an error; repeated rows are scored each; an empty table gives no
+rows; extra columns are passed through by ``score`` and play no part.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelens.llm.scratch import Scratch
-from notelens.llm.spans import FOLDED, PLAIN, parts_of, span_hashes, text_bytes, words_of
+from notelens.llm.scratch import sliced
+from notelens.llm.spans import LOWER, parts_of, span_hashes, text_bytes, words_of
 
 #: Columns for words, and as many for shapes.
 WIDTH = 1 << 12
@@ -53,14 +54,14 @@ def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(starts):
             continue
         row = np.searchsorted(rows, starts, side="right") - 1 + i
-        word_hash = span_hashes(part, starts, ends, FOLDED)
+        word_hash = span_hashes(LOWER[part], starts, ends)
         word = word_hash >> np.uint64(52)
         shape = _CLASS[part]
         keep = np.ones(len(shape), bool)
         keep[1:] = shape[1:] != shape[:-1]
         keep[starts] = True
         kept = np.cumsum(keep)  # places among what is kept
-        shape = span_hashes(shape[keep], kept[starts] - 1, kept[ends - 1], PLAIN) >> np.uint64(52)
+        shape = span_hashes(shape[keep], kept[starts] - 1, kept[ends - 1]) >> np.uint64(52)
         again = np.flatnonzero((word_hash[1:] == word_hash[:-1]) & (row[1:] == row[:-1]))
         keys.append(row[again] * (2 * WIDTH) + WIDTH)
         keys += [row * (2 * WIDTH) + word.astype(np.int64), row * (2 * WIDTH) + WIDTH + shape.astype(np.int64)]
@@ -70,10 +71,13 @@ def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _sparse(column: pa.Array, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, columns and weights of a batch, each block of a row of unit length."""
-    row, term, count = term_counts(column)
+    return _weights(len(column), *term_counts(column), rarity)
+
+
+def _weights(n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     weight = (1 + np.log(count)) * rarity[term]
     block = row * 2 + (term >= WIDTH)
-    length = np.sqrt(np.bincount(block, weight**2, 2 * len(column)))
+    length = np.sqrt(np.bincount(block, weight**2, 2 * n))
     weight *= np.where(term >= WIDTH, SHAPES, 1.0) / np.maximum(length[block], 1e-12)
     return row, term, weight.astype(np.float32)
 
@@ -111,7 +115,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(2 * WIDTH, np.int64), 0
-        for batch in batches:
+        for batch in sliced(batches):
             _, term, _ = term_counts(batch.column("text"))
             total += np.bincount(term, minlength=2 * WIDTH)
             n += len(batch)
@@ -127,16 +131,24 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Classifier:
-    """What is broadcast: rarities, the space, and the labelled vectors."""
+    """What is broadcast: rarities, the space, and the labelled vectors.
+
+    ``terms`` has, for each row that is learnt from, its terms and how often it has them.
+    """
 
-    def __init__(self, rarity: np.ndarray, texts: list[str], labels: list[int]):
+    def __init__(self, rarity: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
         self.rarity, self.labels = rarity, np.array(labels, np.float64)
-        if not texts:
+        if not terms:
             self.space, self.known = np.zeros((2 * WIDTH, 1)), np.zeros((0, 1))
             return
         # rows are made dense a few hundred at a time, so the driver never holds the whole matrix
-        parts = [(n, *_sparse(pa.array(texts[i : i + n], pa.string()), rarity)) for i in range(0, len(texts), 256) for n in [min(256, len(texts) - i)]]
-        self.space = _singular(parts, len(texts), min(LATENT, len(texts)))
+        parts = []
+        for i in range(0, len(terms), 256):
+            some = terms[i : i + 256]
+            row = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
+            term, count = (np.concatenate(c).astype(np.int64) for c in zip(*some, strict=True))
+            parts.append((len(some), *_weights(len(some), row, term, count, rarity)))
+        self.space = _singular(parts, len(terms), min(LATENT, len(terms)))
         self.known = np.concatenate([latent(_dense(*p), self.space) for p in parts])
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -173,31 +185,44 @@ def _singular(parts: list[tuple], n: int, k: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FITTED) -> Classifier:
     """Fitted on at most ``bound`` rows of ``docs`` that ``labels`` (doc_id, label) covers, chosen by hash of the id.
 
-    Half the bound goes to either label as far as there are rows, the rest to the other.
+    Half the bound goes to either label as far as there are rows, the rest to the other. Only
+    term counts reach the driver, at most one for each column of each row.
     """
     counts, n = document_frequencies(docs)
     rarity = np.log((1 + n) / (1 + counts)) + 1
-    ids = labels.filter("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
+    ids = labels.filter("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sizes = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in ids.groupBy("label").count().orderBy("label").limit(3).collect()}
+    if not set(sizes) <= {0, 1}:
+        raise ValueError(f"labels must be 0 or 1, found {sorted(sizes)}")
     few = min(sizes.values(), default=0)
     parts = [ids.filter(F.col("label") == x).orderBy(*order).limit(min(c, max(bound // 2, bound - few))) for x, c in sorted(sizes.items())]
-    rows = []
-    if parts:
-        chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `bound` rows
-        rows = found.orderBy(*order, "label", "text").collect()
-    return Classifier(rarity, [r["text"] or "" for r in rows], [int(r["label"]) for r in rows])
+    if not parts:
+        return Classifier(rarity, [], [])
+    chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `bound` ids
+    one = found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            row, term, n_ = term_counts(batch.column("text"))
+            edges = np.searchsorted(row, np.arange(len(batch) + 1)).tolist()
+            packed = [pa.array([v[i:j].astype("<i4").tobytes() for i, j in zip(edges, edges[1:], strict=False)], pa.binary()) for v in (term, n_)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *packed], ["doc_id", "label", "terms", "counts"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = one.mapInArrow(count, f"doc_id {kind}, label int, terms binary, counts binary").orderBy(*order, "label").collect()
+    return Classifier(rarity, [tuple(np.frombuffer(r[c], "<i4") for c in ("terms", "counts")) for r in rows], [r["label"] for r in rows])
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """``docs`` with a column ``score`` (an input column of that name gives way)."""
-    Scratch(docs.sparkSession, "quality")  # the batch size
     names = [c for c in docs.columns if c.lower() != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").cast(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(texts))], [*names, "score"])
 

@@ -6,12 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; a batch is what a Python worker holds at once.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch; a batch is what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 _own_root: str | None = None
 
@@ -30,22 +34,53 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of few rows for the jobs within; the session's own settings come back afterwards."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, for what runs under whatever settings the session has."""
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, max(1, len(batch)), rows))
+
+
 class Scratch:
-    """A folder for one run of an operator; ``drop`` frees a table early, the rest goes when the process ends."""
+    """A folder for one run of an operator; ``drop`` frees tables early, the rest goes when the process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/notelens/{name}-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        self.tags: set[str] = set()
         atexit.register(self._remove, self.path)
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.path}/{tag}"
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
+        self.tags.add(tag)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, tag: str) -> None:
-        self._remove(f"{self.path}/{tag}")
+    def drop(self, *tags: str) -> None:
+        for tag in tags:
+            self.tags.discard(tag)
+            self._remove(f"{self.path}/{tag}")
+
+    def keep(self, *tags: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*(self.tags - set(tags)))
 
     def _remove(self, path: str) -> None:
         if path.startswith("file:") or path.startswith("/"):
@@ -63,20 +98,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bits of the filter that tells which rows may have a key; its table has 2**18 rows at most.
-FILTER_BITS = 24
+#: Bits of a filter: its least and its most (32 MB), and how many there are for each key in between.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 12, 28, 8
+
+
+def filter_bits(keys: int) -> int:
+    """The logarithm of the size of a filter of that many keys."""
+    return min(max((BITS_A_KEY * keys).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _cells(keys: DataFrame, bits: int) -> DataFrame:
+    """``__cell, __bits``: 4096 bits of the filter in 64 longs, for each cell that has one set."""
+    name = keys.columns[0]
+    words = keys.select(F.pmod(name, F.lit(1 << bits)).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        out = np.zeros(64, np.int64)
+        out[table.column("word").to_numpy() & 63] = table.column("bits").to_numpy()
+        return pa.table([table.column("__cell")[:1], pa.array([out])], names=["__cell", "__bits"])
+
+    return words.withColumn("__cell", F.shiftright("word", 6)).groupBy("__cell").applyInArrow(pack, "__cell long, __bits array<long>")
 
 
 def split_by(df: DataFrame, hashed: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``df`` as rows that no key of ``keys`` (one column of hashed longs) can meet, and the others.
 
-    The filter is broadcast and has a fixed size however many keys there are; with too many for
-    it, all rows are others. So a join that few rows have a part in moves only these.
+    The broadcast filter grows with the keys up to ``MOST_BITS``; so a join that few rows have a
+    part in moves only these. With more keys than some 30 million it fills up, and the join moves
+    up to all rows, once: the plan is the same, and nothing depends on what the filter lets through.
     """
-    name = keys.columns[0]
-    bit = F.pmod(F.col(name), F.lit(1 << FILTER_BITS))
-    bits = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("__bits"))
-    placed = df.withColumn("__bit", F.pmod(hashed, F.lit(1 << FILTER_BITS)))
-    met = placed.join(F.broadcast(bits), F.shiftright("__bit", 6) == F.col("__word"), "left")
-    may = F.coalesce(F.expr("shiftrightunsigned(__bits, cast(__bit & 63 as int)) & 1L") == 1, F.lit(False))
+    bits = filter_bits(keys.count())
+    placed = df.withColumn("__bit", F.pmod(hashed, F.lit(1 << bits)))
+    met = placed.join(F.broadcast(_cells(keys, bits)), F.shiftright("__bit", 12) == F.col("__cell"), "left")
+    may = F.coalesce(F.expr("shiftrightunsigned(get(__bits, cast(shiftright(__bit, 6) & 63 as int)), cast(__bit & 63 as int)) & 1L") == 1, F.lit(False))
     return met.filter(~may).select(*df.columns), met.filter(may).select(*df.columns)

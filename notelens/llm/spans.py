@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at a time; a longer text is hashed whole.
 PART = 1 << 20
 
@@ -30,20 +28,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-PLAIN = random_words(256, 1)
-#: A-Z count as a-z.
-FOLDED = PLAIN.copy()
-FOLDED[0x41:0x5B] = PLAIN[0x61:0x7B]
+#: A-Z to a-z, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
-_powers = {b: np.ones(1, np.uint64) for b in (_BASE, _BASE_INVERSE)}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers[base]
-    while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    _powers[base] = have
-    return have[:n]
+#: The first n bytes of a little-endian block of 8.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_ODD = random_words(4, 3)
+#: Spans longer than this are hashed by BLAKE2.
+LONG = 256
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +61,35 @@ def parts_of(offsets: np.ndarray):
         i = min(j, n)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray = PLAIN) -> np.ndarray:
-    """A 64-bit hash of each non-empty span of ``raw``."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    total = np.cumsum(letters[raw] * _power(_BASE, len(raw)), dtype=np.uint64)
-    head = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    return mix((total[ends - 1] - head) * _power(_BASE_INVERSE, len(raw))[starts])
+def span_hash_pairs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span of ``raw``, independent of each other.
+
+    Blocks of 8 bytes are mixed in one after another, so no linear relation of bytes carries
+    over; long spans take the halves of a BLAKE2 digest.
+    """
+    size = ends - starts
+    first = mix(size.astype(np.uint64) * _ODD[0])
+    second = mix(size.astype(np.uint64) * _ODD[1])
+    blocks = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+    live = np.flatnonzero(size <= LONG)
+    at, left, x, y = starts[live], size[live], first[live], second[live]
+    while len(live):
+        block = blocks[at] & _FIRST[np.minimum(left, 8)]
+        x, y = mix(x ^ block), mix(y + block * _ODD[2])
+        go = left > 8
+        if not go.all():
+            over = ~go
+            first[live[over]], second[live[over]] = x[over], y[over]
+            live, at, left, x, y = live[go], at[go], left[go], x[go], y[go]
+        at, left = at + 8, left - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        first[i], second[i] = np.frombuffer(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=16).digest(), np.uint64)
+    return first, second
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of ``raw``."""
+    return span_hash_pairs(raw, starts, ends)[0]
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,23 +106,24 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def hashed_words(column: pa.Array, letters: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of every row in turn, and the n + 1 offsets of the rows among them."""
+def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of every row in turn (A-Z as a-z if ``lower``), and the n + 1 offsets of the rows among them."""
     raw, offsets = text_bytes(column)
     hashes, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
     for i, j in parts_of(offsets):
         part, rows = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends = words_of(part, rows)
-        hashes.append(span_hashes(part, starts, ends, letters))
+        hashes.append(span_hashes(LOWER[part] if lower else part, starts, ends))
         counts.append(np.diff(np.searchsorted(starts, rows)))
     return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
 class SpanTable:
-    """What ``learn`` found for each distinct span, kept by the span's hash until ``most`` spans are known.
+    """What ``learn`` found for each distinct span, kept until ``most`` spans are known.
 
-    ``learn`` takes a list of spans as bytes and returns, for each of its pools, one flat array
-    and the n + 1 starts of the spans in it.
+    A span is looked up by one hash and told apart by a second one, 127 bits in all. ``learn``
+    takes a list of spans as bytes and returns, for each of its pools, one flat array and the
+    n + 1 starts of the spans in it.
     """
 
     def __init__(self, learn: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], most: int = 1_000_000):
@@ -115,59 +131,66 @@ class SpanTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.entry = np.zeros(1 << self.bits, np.int32)
+        self._make()
         self.known = 0
         self.pools: list[list] = []  # [array, filled, starts, sizes]
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
+    def _make(self) -> None:
+        self.keys, self.checks = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
+        self.entry = np.zeros(1 << self.bits, np.int32)
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Entry numbers; -1 where unknown."""
         out = np.full(len(keys), -1, np.int32)
         slots = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         open_ = np.arange(len(keys))
         while len(open_):
             there = self.keys[slots]
-            hit = there == keys[open_]
+            hit = (there == keys[open_]) & (self.checks[slots] == checks[open_])
             out[open_[hit]] = self.entry[slots[hit]]
             go = ~hit & (there != 0)
             open_, slots = open_[go], (slots[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def _insert(self, keys: np.ndarray, entries: np.ndarray) -> None:
+    def _insert(self, keys: np.ndarray, checks: np.ndarray, entries: np.ndarray) -> None:
         slots = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         open_ = np.arange(len(keys))
         while len(open_):
             free = np.flatnonzero(self.keys[slots] == 0)
             _, first = np.unique(slots[free], return_index=True)
             put = free[first]
-            self.keys[slots[put]], self.entry[slots[put]] = keys[open_[put]], entries[open_[put]]
+            self.keys[slots[put]], self.checks[slots[put]], self.entry[slots[put]] = keys[open_[put]], checks[open_[put]], entries[open_[put]]
             go = np.ones(len(open_), bool)
             go[put] = False
             open_, slots = open_[go], (slots[go] + 1) & ((1 << self.bits) - 1)
 
     def entries(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of every span; unknown ones are learnt first."""
-        keys = span_hashes(raw, starts, ends) | np.uint64(1)
-        found = self._find(keys)
+        keys, checks = span_hash_pairs(raw, starts, ends)
+        keys |= np.uint64(1)
+        found = self._find(keys, checks)
         miss = np.flatnonzero(found < 0)
         if not len(miss):
             return found
-        new, first = np.unique(keys[miss], return_index=True)
-        if self.known and self.known + len(new) > self.most:
+        at = miss[np.lexsort((checks[miss], keys[miss]))]
+        new = np.ones(len(at), bool)
+        new[1:] = (keys[at[1:]] != keys[at[:-1]]) | (checks[at[1:]] != checks[at[:-1]])
+        at = at[new]
+        if self.known and self.known + len(at) > self.most:
             self.clear()
             return self.entries(raw, starts, ends)
-        at = miss[first]
-        if 2 * (self.known + len(new)) > 1 << self.bits:
+        if 2 * (self.known + len(at)) > 1 << self.bits:
             used = np.flatnonzero(self.keys)
-            old, entries = self.keys[used], self.entry[used]
-            self.bits = int(3 * (self.known + len(new))).bit_length()
-            self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            self._insert(old, entries)
+            old = self.keys[used], self.checks[used], self.entry[used]
+            self.bits = int(3 * (self.known + len(at))).bit_length()
+            self._make()
+            self._insert(*old)
         text = raw.tobytes()
         self._add(self.learn([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
-        self._insert(new, np.arange(self.known, self.known + len(new), dtype=np.int32))
-        self.known += len(new)
-        return self._find(keys)
+        self._insert(keys[at], checks[at], np.arange(self.known, self.known + len(at), dtype=np.int32))
+        self.known += len(at)
+        found[miss] = self._find(keys[miss], checks[miss])
+        return found
 
     def _add(self, learnt: list[tuple[np.ndarray, np.ndarray]]) -> None:
         if not self.pools:

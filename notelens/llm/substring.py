@@ -13,6 +13,9 @@ meet those of other tasks; so a passage that a third of all rows hold brings a b
 place for each task. A row is named by a hash of its id and text: repeated rows share the
 name, count as several places, and lose the same words.
 
+Windows are compared by 64-bit hashes within buckets that the anchor's hash deals, so by 64
+bits and those of the bucket's number.
+
 Defined results: null and empty texts have no words; a null ``doc_id`` is kept; an empty
 table gives no rows; extra columns are passed through by ``removed`` and play no part, but
 for those named as its results, which give way to them.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelens.llm.scratch import Scratch, split_by
+from notelens.llm.scratch import Scratch, sliced, split_by
 from notelens.llm.spans import hashed_words, mix, random_words
 
 WINDOW = 35
@@ -39,26 +42,28 @@ BUCKET_ANCHORS, HELD_ANCHORS = 800_000, 1_000_000
 #: Only sets the number of buckets.
 BYTES_A_WORD = 6
 
-_BASE = int(random_words(1, 11)[0])
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LEFT, _RIGHT = random_words(2, 11)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-    return out[:n]
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hashes of two runs as the hash of both; mixed at each step, so nothing stays linear."""
+    return mix(left * _LEFT + mix(right + _RIGHT))
 
 
 class Windows:
-    """Hashes of the windows of a row of word hashes, at any place and of any length."""
+    """Hashes of windows of word hashes: runs of 9 words by doubling, longer ones from two that they begin and end with."""
 
     def __init__(self, words: np.ndarray):
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, len(words)), dtype=np.uint64)])
-        self.back = _powers(_INVERSE, len(words) + 1)
+        run = words
+        for width in (1, 2, 4):
+            run = _joined(run[:-width], run[width:]) if len(run) > width else run[:0]
+        self.short = _joined(run[:-1], words[8:]) if len(words) >= LEVELS[0] else run[:0]
+
+    def doubled(self, starts: np.ndarray) -> np.ndarray:
+        return _joined(self.short[starts], self.short[starts + LEVELS[0]])
 
-    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
-        return mix((self.total[starts + length] - self.total[starts]) * self.back[starts] + np.uint64(length))
+    def whole(self, starts: np.ndarray) -> np.ndarray:
+        return _joined(self.doubled(starts), self.doubled(starts + WINDOW - LEVELS[1]))
 
 
 def anchors_of(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Windows]:
@@ -68,7 +73,7 @@ def anchors_of(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     if n < WINDOW:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64), windows)
-    h = windows.at(np.arange(n - LEVELS[0] + 1), LEVELS[0])
+    h = windows.short
     value, place, width, choices = h, np.arange(len(h)), 1, WINDOW - LEVELS[0] + 1
     while width < choices:  # the least of 1, 2, 4, ... and at last 27 places, leftmost first
         step = min(width, choices - width)
@@ -209,8 +214,8 @@ def _first_levels(rows: DataFrame, buckets: int) -> DataFrame:
                 right_room = chosen - starts + double <= WINDOW
                 right[at[right_room]], left[at[~right_room]] = True, True
                 rights, lefts = np.zeros(len(places), np.uint32), np.zeros(len(places), np.uint32)
-                rights[right] = windows.at(places[right], double).astype(np.uint32) | np.uint32(1)
-                lefts[left] = windows.at(places[left] - (double - short), double).astype(np.uint32) | np.uint32(1)
+                rights[right] = windows.doubled(places[right]).astype(np.uint32) | np.uint32(1)
+                lefts[left] = windows.doubled(places[left] - (double - short)).astype(np.uint32) | np.uint32(1)
                 row = np.searchsorted(offsets, places, side="right") - 1
                 held.add(h[places], h[places], rights, lefts, name[i:j][row], (places - offsets[row]).astype(np.int32))
             if held.rows >= HELD_ANCHORS:
@@ -243,7 +248,7 @@ def _last_level(candidates: DataFrame, buckets: int) -> DataFrame:
                 starts, chosen = starts[keep], chosen[keep]
                 row = np.searchsorted(offsets, starts, side="right") - 1
                 none = np.zeros(len(starts), np.uint32)  # the window itself is the key
-                held.add(h[chosen], windows.at(starts, WINDOW), none, none, name[i:j][row], (starts - offsets[row]).astype(np.int32))
+                held.add(h[chosen], windows.whole(starts), none, none, name[i:j][row], (starts - offsets[row]).astype(np.int32))
             if held.rows >= HELD_ANCHORS:
                 yield held.take()
         yield held.take()
@@ -262,16 +267,17 @@ def removed(docs: DataFrame) -> DataFrame:
     thin = named.select(F.col("__name").alias("name"), F.col("__text").alias("text"))
 
     found = scratch.write(_first_levels(thin, buckets), "found")
-    by_name = found.groupBy("name").agg(F.collect_list(F.struct("starts", "counts", "sides")).alias("found"))
+    by_name = found.groupBy("name").agg(F.collect_set(F.struct("starts", "counts", "sides")).alias("found"))
     candidates = thin.join(by_name, "name").select("name", "text", "found")
     again = scratch.write(_last_level(candidates, 3 * buckets), "again")
-    cut = again.groupBy(F.col("name").alias("__name")).agg(F.collect_list(F.struct("starts", "counts")).alias("__starts"))
+    scratch.drop("found")
+    cut = again.groupBy(F.col("name").alias("__name")).agg(F.collect_set(F.struct("starts", "counts")).alias("__starts"))
     clear, rest = split_by(named, F.col("__name"), again.select("name"))
     joined = clear.withColumn("__starts", F.lit(None).cast(cut.schema["__starts"].dataType)).unionByName(rest.join(cut, "__name", "left")).drop("__name")
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             totals, gone, kept = [], [], []
             for value, starts in zip(batch.column("__text").to_pylist(), batch.column("__starts").to_pylist(), strict=True):
                 words = value.encode().split()

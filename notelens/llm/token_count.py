@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelens.llm import bpe
+from notelens.llm.scratch import sliced
 
 CHUNK = 1 << 16
 OVERLAP = 1 << 9
@@ -105,7 +106,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, ranks: str | None = None, pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary, ranks, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").fill_null("")
             tokens = np.array([counter.count(t) for t in texts.to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays(

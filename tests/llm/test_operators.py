@@ -1,17 +1,19 @@
 """Each operator against the library, a round trip or brute force, with nulls, empty texts, ties and repeated rows."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
-from notelens.llm import ann, bpe_codec, chat, jaccard, lexicon, near_vectors, packing, quality, substring, token_count, warc  # noqa: E402
+from notelens.llm import ann, bpe_codec, chat, jaccard, lexicon, near_vectors, packing, quality, scratch, spans, substring, token_count, warc  # noqa: E402
 
 ODD = [
     "",
@@ -32,6 +34,14 @@ def texts(n: int, seed: int = 1) -> list[str]:
     return [" ".join(r.choice(words) + r.choice(["", "", ",", ".", "!!"]) for _ in range(r.randint(1, 120))) for _ in range(n)]
 
 
+def twins(size: int) -> tuple[str, str]:
+    """A Thue-Morse word over a and b, and the same with the letters swapped: linear hashes clash on these."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, extra string, score double, kept string, n_words long")
 
@@ -50,6 +60,62 @@ def test_word_ids_are_the_librarys():
     assert [x.tolist() for x in packing.WordEncoder(path).encode(pa.array([*sample, None]))] == [*expected, []]
 
 
+def test_words_that_clash_under_linear_hashes():
+    library = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    sample = [w for n in (1024, 2048, 4096) for w in twins(n)]
+    assert [x.tolist() for x in packing.WordEncoder(P.path("word_bpe_49k.json")).encode(pa.array(sample))] == [library.encode(w, add_special_tokens=False).ids for w in sample]
+    path = P.path("byte_bpe_50k.json")
+    codec, library = bpe_codec.Codec(path, P.PATTERN), tokenizers.Tokenizer.from_file(path)
+    table = bpe_codec.SpanTable(codec.learn)
+    assert [ids.tolist() for ids, _, _ in bpe_codec.encode(table, pa.array(sample))] == [library.encode(w, add_special_tokens=False).ids for w in sample]
+
+
+def test_a_span_is_told_apart_by_its_second_hash(monkeypatch):
+    real = spans.span_hash_pairs
+    monkeypatch.setattr(spans, "span_hash_pairs", lambda *a: (np.full(len(a[1]), 7, np.uint64), real(*a)[1]))
+    table = spans.SpanTable(lambda words: [(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]))])
+    raw = np.frombuffer(b"one two one six two", np.uint8)
+    starts, ends = spans.words_of(raw, np.array([0, len(raw)]))
+    for _ in range(2):
+        values, at = table.gather(0, table.entries(raw, starts, ends))
+        assert [values[a:b].tobytes() for a, b in zip(at, at[1:])] == [b"one", b"two", b"one", b"six", b"two"]
+
+
+def test_every_gap_that_three_pieces_fill_is_filled():
+    r, limit = np.random.default_rng(1), 24
+    for _ in range(150):
+        counts = np.bincount(r.integers(1, limit + 1, r.integers(1, 14)), minlength=limit + 1)
+        sums = packing.Sums(counts, limit)
+        for length in np.flatnonzero(counts):
+            if r.random() < 0.3:
+                sums.take([int(length)])
+                counts[length] -= 1
+        held = [n for n in range(1, limit + 1) for _ in range(min(counts[n], 3))]
+        for gap in range(1, limit + 1):
+            parts = sums.filling(gap)
+            assert bool(parts) == any(sum(x) == gap for n in (1, 2, 3) for x in itertools.combinations(held, n))
+            assert not parts or (sum(parts) == gap and (np.bincount(parts, minlength=limit + 1) <= counts).all())
+        assert (sums.left == counts).all()
+
+
+@pytest.mark.parametrize("kind", ["long", "mixed", "short"])
+def test_plan_of_hard_lengths(kind):
+    """No more sequences than lengths above half the limit ask for, or first fit decreasing needs."""
+    r, limit = np.random.default_rng(5), 512
+    lengths = {"long": r.integers(200, 400, 700), "mixed": r.integers(1, 513, 900), "short": r.integers(1, 60, 2000)}[kind]
+    made = packing.plan(np.bincount(lengths, minlength=limit + 1), limit)
+    bins: list[int] = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        at = next((i for i, gap in enumerate(bins) if gap >= n), None)
+        if at is None:
+            bins.append(limit - n)
+        else:
+            bins[at] -= n
+    used = sum(np.bincount(p, minlength=limit + 1) * n for p, n in made)
+    assert (used == np.bincount(lengths, minlength=limit + 1)).all() and all(sum(p) <= limit for p, _ in made)
+    assert sum(n for _, n in made) <= len(bins)
+
+
 def test_plan_uses_every_piece_once():
     counts = np.random.default_rng(3).integers(0, 9, 257)
     counts[0] = counts[121:] = 0  # longer pieces would need more sequences than their sum tells
@@ -113,6 +179,35 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_quality_is_the_plain_vote(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, t) for i, t in enumerate(texts(80, 3))] + [(200, "long " * 400_000), (201, texts(80, 3)[4])]
+    docs = docs_of(spark, with_extras(rows))
+    labels = spark.createDataFrame([(i, int(r.integers(0, 2))) for i in range(60)], "doc_id long, label int")
+    model = quality.fit(docs, labels)
+    got = {x["doc_id"]: x["score"] for x in quality.score(docs, model).collect()}
+    known, votes = model.known, model.labels
+    for i, t in rows:
+        vector = quality.weighted(pa.array([t]), model.rarity)[0].astype(float) @ model.space
+        vector /= np.linalg.norm(vector)
+        near = sorted(((-(vector @ k), n) for n, k in enumerate(known)))[: quality.NEIGHBOURS]
+        weight = [max(-c, 1e-9) ** quality.SHARPNESS for c, _ in near]
+        assert got[i] == pytest.approx(sum(w * votes[n] for w, (_, n) in zip(weight, near, strict=True)) / sum(weight), abs=1e-9)
+    assert len(known) == 60 and got[4] == pytest.approx(got[201])
+    assert model.known.shape == quality.fit(docs, labels, 60).known.shape and len(quality.fit(docs, labels, 10).labels) == 10
+
+
+def test_quality_labels(spark):
+    docs = docs_of(spark, with_extras([(1, "a b c"), (1, "a b c"), (2, "d e f"), (3, "a b x")]))
+    assert {r["score"] for r in quality.score(docs, quality.fit(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, label int"))).collect()} == {1.0}
+    assert len(quality.fit(docs, spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, label int")).labels) == 2
+    # equal neighbours of both labels: a tie, decided by the order they were fitted in
+    tied = quality.fit(docs, spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, label int"))
+    assert quality.score(docs, tied).filter("doc_id = 3").first()["score"] == pytest.approx(0.5)
+    with pytest.raises(ValueError):
+        quality.fit(docs, spark.createDataFrame([(1, 0), (2, 2)], "doc_id long, label int"))
+
+
 # --- 3 chat ---
 
 
@@ -171,6 +266,11 @@ def test_jaccard(spark, monkeypatch, small):
     assert got == sorted((d, len(s), c) for (d, _), s, c in zip(rows, sets, least, strict=True))
 
 
+def test_jaccard_of_words_that_clash_under_linear_hashes(spark):
+    out = jaccard.near_duplicates(docs_of(spark, with_extras(list(enumerate(twins(2048)))))).collect()
+    assert sorted(map(tuple, out)) == [(0, 1, 0), (1, 1, 1)]
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.near_duplicates(docs_of(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.near_duplicates(docs_of(spark, with_extras([(None, None), ]))).collect()] == [(None, 0, None)]
@@ -217,6 +317,21 @@ def test_ann_goes_on_past_small_leaves(spark, monkeypatch):
     assert sorted(found) == list(range(0, 240, 20)) and all(len(x) == 20 and q not in x for q, x in found.items())
 
 
+def test_ann_with_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    v = r.standard_normal((120, 8))
+    rows = [(i // 3, x.tolist()) for i, x in enumerate(v)]
+    out: dict = {}
+    for row in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20).collect():
+        out.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
+    assert sorted(out) == [0, 20]
+    for q, found in out.items():
+        own = min(x for i, x in rows if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, x, strict=True)), i) for i, x in rows if i != q)[:20]
+        assert [n for n, *_ in sorted(found)] == list(range(1, 21))
+        assert len({(vec, round(s, 9)) for _, vec, s in found} & {(i, round(-t, 9)) for t, i in best}) >= 18
+
+
 # --- 6 token counts ---
 
 
@@ -235,6 +350,20 @@ def test_token_count_rows(spark):
     assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in out) == [(0, 2, 1, False), (1, 3, 2, True), (1, 3, 2, True), (2, 0, 0, False)]
 
 
+def test_token_counts_of_nothing_and_of_megabytes(spark):
+    path = P.path("byte_bpe_50k.json")
+    assert token_count.count_tokens(docs_of(spark, []), path).count() == 0
+    long = " ".join(texts(4000, 9))
+    expected = len(tokenizers.Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids)
+    got = token_count.count_tokens(docs_of(spark, with_extras([(1, long)])), path, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).first()
+    assert len(long) > 1 << 20 and (got["n_bytes"], got["n_tokens"]) == (len(long.encode()), expected)
+    ids = tokenizers.Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids
+    coded = bpe_codec.codec_digests(docs_of(spark, with_extras([(1, long)])), path, P.PATTERN, 100).first()
+    assert coded["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    words = P.path("word_bpe_49k.json")
+    assert next(packing.WordEncoder(words).encode(pa.array([long]))).tolist() == tokenizers.Tokenizer.from_file(words).encode(long, add_special_tokens=False).ids
+
+
 # --- 7 substrings ---
 
 
@@ -268,6 +397,35 @@ def test_substring(spark):
     assert substring.removed(docs_of(spark, [])).count() == 0
 
 
+def test_substring_of_words_that_clash_under_linear_hashes(spark):
+    same = " ".join(f"w{i}" for i in range(34))
+    out = substring.digests(docs_of(spark, with_extras([(i, f"{same} {w}") for i, w in enumerate(twins(2048))]))).collect()
+    assert {(r["n_words"], r["n_removed"]) for r in out} == {(35, 0)}
+
+
+@pytest.mark.parametrize("most", [12, 28])
+def test_substring_of_many_repeated_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(scratch, "MOST_BITS", most)  # the least filter lets most rows through, and changes nothing
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text)] * 300 + [(2, "x " + text), (3, " ".join(f"v{i}" for i in range(50)))]
+    out = substring.removed(docs_of(spark, with_extras(rows)).repartition(6)).groupBy("doc_id", "n_removed", "kept").count().collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept"], r["count"]) for r in out) == [(1, 50, "", 300), (2, 50, "x", 1), (3, 0, rows[-1][1], 1)]
+
+
+def test_filters_let_all_keys_through(spark):
+    for keys in (0, 3, 5000):
+        rows, wanted = spark.range(20000).withColumn("h", F.xxhash64("id")), spark.range(keys).select(F.xxhash64("id").alias("k"))
+        clear, rest = scratch.split_by(rows, F.col("h"), wanted)
+        assert clear.count() + rest.count() == 20000 and rest.filter(F.col("id") < keys).count() == keys
+        assert clear.count() > 20000 - keys - 3000
+
+
+def test_settings_stay(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    jaccard.near_duplicates(docs_of(spark, with_extras([(1, "a b")]))).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 # --- 8 WARC ---
 
 
@@ -329,7 +487,8 @@ def test_codec(spark):
 
 
 def test_near_vectors(spark, monkeypatch):
-    monkeypatch.setattr(near_vectors, "SLAB", 64)
+    for name, small in (("LEAST_SLAB", 64), ("TILE", 40), ("QUERIES", 30)):
+        monkeypatch.setattr(near_vectors, name, small)
     r = np.random.default_rng(6)
     v = r.standard_normal((260, 24))
     for i in range(60):
