@@ -38,7 +38,7 @@ from notelens.llm.spans import hashed_words, mix, random_words
 WINDOW = 35
 LEVELS = (9, 18, WINDOW)
 #: Anchors of one bucket, about; rows that a task holds before it hands them on.
-BUCKET_ANCHORS, HELD_ANCHORS = 800_000, 1_000_000
+BUCKET_ANCHORS, HELD_ANCHORS = 200_000, 400_000
 #: Only sets the number of buckets.
 BYTES_A_WORD = 6
 
@@ -169,7 +169,7 @@ class _Held:
 
 
 def _match(table: pa.Table, key_type) -> pa.Table:
-    """``name, starts, counts, sides`` of one bucket's places that stand elsewhere as well."""
+    """``name, span`` of one bucket's places that stand elsewhere as well, a row for each run of places."""
     kind = np.array(table.column("kind").to_pylist())
 
     def column(name: str, want: int, of) -> np.ndarray:
@@ -188,14 +188,16 @@ def _match(table: pa.Table, key_type) -> pa.Table:
     keep = (sides > 0) & (starts >= 0)
     ranges = _ranges(names[keep], starts[keep], sides[keep])
     known = [column("names", 1, np.int64), column("starts", 1, np.int32), column("counts", 1, np.int32), column("sides", 1, np.uint8)]
-    name, *rest = (np.concatenate(c) for c in zip(ranges, known, strict=True))
-    order = np.argsort(name, kind="stable")
-    first = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1])) if len(name) else np.empty(0, np.int64)
-    packed = [[p.tobytes() for p in np.split(c[order], first[1:])] if len(name) else [] for c in rest]
-    return pa.table([pa.array(name[order][first]), *(pa.array(p, pa.binary()) for p in packed)], names=["name", "starts", "counts", "sides"])
+    name, start, n, side = (np.concatenate(c) for c in zip(ranges, known, strict=True))
+    return pa.table([pa.array(name), pa.array(start.astype(np.int64) << 32 | n.astype(np.int64) << 2 | side)], names=["name", "span"])
 
 
-FOUND = "name long, starts binary, counts binary, sides binary"
+def _places(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places, numbers of places that follow each other, and sides of packed runs."""
+    return spans >> 32, spans >> 2 & ((1 << 30) - 1), spans & 3
+
+
+FOUND = "name long, span long"
 
 
 def _first_levels(rows: DataFrame, buckets: int) -> DataFrame:
@@ -233,17 +235,18 @@ def _last_level(candidates: DataFrame, buckets: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(buckets, False)
         for batch in batches:
-            name, found = batch.column("name").to_numpy(), batch.column("found").to_pylist()
+            name, found = batch.column("name").to_numpy(), batch.column("found").flatten().to_numpy()
+            edges = np.concatenate([[0], np.cumsum(batch.column("found").value_lengths().to_numpy())])
             for i, j, words, offsets in _batches(batch):
                 starts, chosen, h, windows = anchors_of(words, offsets)
                 open_ = np.zeros((2, len(words)), bool)
-                for k in range(i, j):
-                    for part in found[k]:
-                        first, n, sides = (np.frombuffer(part[c], t) for c, t in (("starts", np.int32), ("counts", np.int32), ("sides", np.uint8)))
-                        places = np.repeat(first + offsets[k - i] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                        sides = np.repeat(sides, n)
-                        open_[0, places[sides & 1 > 0]] = True
-                        open_[1, places[sides & 2 > 0]] = True
+                part = slice(edges[i], edges[j])
+                first, n, sides = _places(found[part])
+                first = first + np.repeat(offsets[:-1], np.diff(edges[i : j + 1]))
+                places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                sides = np.repeat(sides, n)
+                open_[0, places[sides & 1 > 0]] = True
+                open_[1, places[sides & 2 > 0]] = True
                 keep = np.where(chosen - starts + double <= WINDOW, open_[0, chosen], open_[1, chosen]) if len(starts) else np.empty(0, bool)
                 starts, chosen = starts[keep], chosen[keep]
                 row = np.searchsorted(offsets, starts, side="right") - 1
@@ -259,7 +262,7 @@ def _last_level(candidates: DataFrame, buckets: int) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words, n_removed, kept``: its words but those of repeated windows, one space between."""
     scratch = Scratch(docs.sparkSession, "substring")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept", "__text", "__name", "__starts")])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept", "__text", "__name", "__spans")])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = size // BYTES_A_WORD * 2 // (WINDOW - LEVELS[0] + 2) // BUCKET_ANCHORS + 1
@@ -267,27 +270,26 @@ def removed(docs: DataFrame) -> DataFrame:
     thin = named.select(F.col("__name").alias("name"), F.col("__text").alias("text"))
 
     found = scratch.write(_first_levels(thin, buckets), "found")
-    by_name = found.groupBy("name").agg(F.collect_set(F.struct("starts", "counts", "sides")).alias("found"))
+    by_name = found.groupBy("name").agg(F.collect_set("span").alias("found"))
     candidates = thin.join(by_name, "name").select("name", "text", "found")
     again = scratch.write(_last_level(candidates, 3 * buckets), "again")
     scratch.drop("found")
-    cut = again.groupBy(F.col("name").alias("__name")).agg(F.collect_set(F.struct("starts", "counts")).alias("__starts"))
+    cut = again.groupBy(F.col("name").alias("__name")).agg(F.collect_set("span").alias("__spans"))
     clear, rest = split_by(named, F.col("__name"), again.select("name"))
-    joined = clear.withColumn("__starts", F.lit(None).cast(cut.schema["__starts"].dataType)).unionByName(rest.join(cut, "__name", "left")).drop("__name")
+    joined = clear.withColumn("__spans", F.lit(None).cast(cut.schema["__spans"].dataType)).unionByName(rest.join(cut, "__name", "left")).drop("__name")
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             totals, gone, kept = [], [], []
-            for value, starts in zip(batch.column("__text").to_pylist(), batch.column("__starts").to_pylist(), strict=True):
+            for value, spans in zip(batch.column("__text").to_pylist(), batch.column("__spans"), strict=True):
                 words = value.encode().split()
                 totals.append(len(words))
-                if starts:
+                if spans.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    for part in starts:
-                        at, n = np.frombuffer(part["starts"], np.int32), np.frombuffer(part["counts"], np.int32)
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + n - 1 + WINDOW, -1)
+                    at, n, _ = _places(spans.values.to_numpy())
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + n - 1 + WINDOW, -1)
                     stays = np.cumsum(edge[:-1]) == 0
                     words = [words[i] for i in np.flatnonzero(stays).tolist()]
                 gone.append(totals[-1] - len(words))
