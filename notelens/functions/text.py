@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,36 +16,80 @@ UPPER_LETTERS = "A-ZÇĞİÖŞÜ"
 WORD_CHARS = r"\p{L}\p{N}_"
 #: Letters that the duplicate analysis folds.
 COPY_FOLD_FROM = "İIıĞğÜüŞşÖöÇç"
-COPY_FOLD_TO = "iiiggu" + "ussoocc"
+COPY_FOLD_TO = "iiigguussoocc"
 
 SUFFIX = f"[{APOSTROPHES}][{WORD_CHARS}]*"
 CAMEL = f"(?<=[{LOWER_LETTERS}0-9])(?=[{UPPER_LETTERS}])|(?<=[{UPPER_LETTERS}])(?=[{UPPER_LETTERS}][{LOWER_LETTERS}])"
+#: Whether a text may have a run that is taken apart, and such runs: each run is looked through once, from its start.
+MAY_SPLIT = f"_|[{LOWER_LETTERS}0-9][{UPPER_LETTERS}]|[{UPPER_LETTERS}][{UPPER_LETTERS}][{LOWER_LETTERS}]"
+SPLIT_RUN = f"(?<![{WORD_CHARS}])((?=[{WORD_CHARS}]*?(?:_|{CAMEL}))[{WORD_CHARS}]+)"
 BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
-def _accent_map() -> tuple[str, str]:
-    """Lower-case Latin letters that decompose to one base letter and marks, and those base letters."""
-    source, base = [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
+def _bare(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
+
+
+def _is_word(text: str) -> list[bool]:
+    return [c == "_" or unicodedata.category(c)[0] in "LN" for c in text]
+
+
+#: Dotted and dotless i are one letter.
+DOTS = str.maketrans("İIı", "iii")
+
+
+#: Letters up to here are Latin.
+LATIN = 0x24F
+
+
+def _narrow_letters() -> tuple[str, str, str, str]:
+    """Pairs of letters and what they fold to one-to-one, and two character classes of what needs more than these.
+
+    Latin, full-width and symbol blocks and the Chinese characters are looked at. Folding leaves
+    the others alone, the pairs cover them, or they stay outside words. The first class has the
+    exceptions among Latin letters; the second is meant for texts that go beyond Latin.
+    """
+    source, base, exceptions, ranges = [], [], [], [[0, LATIN]]
+    for code in (*range(0x80, LATIN + 1), *range(0x1E00, 0x1F00), *range(0x2010, 0x2768), *range(0x4E00, 0x9FD0), *range(0xFF01, 0xFF5F)):
         letter = chr(code)
-        bare = "".join(c for c in unicodedata.normalize("NFKD", letter) if unicodedata.category(c) != "Mn")
-        if bare != letter and len(bare) == 1:
-            source.append(letter)
+        low = letter.translate(DOTS).lower()
+        bare = _bare(low)
+        if len(low) == 1 and len(bare) == 1 and bare != low and _is_word(bare) == _is_word(low):
+            source.append(low)
             base.append(bare)
-    return "".join(source), "".join(base)
+        elif bare != low and any(_is_word(letter + bare)) or unicodedata.category(letter) == "Mn":
+            exceptions += [letter] * (code <= LATIN)
+            continue
+        if code > LATIN:
+            if code == ranges[-1][1] + 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "".join(source), "".join(base), "[" + "".join(exceptions) + "]", "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+ACCENTED, BARE, LATIN_EXCEPTIONS, BEYOND = _narrow_letters()
+
 
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
-ACCENTED, BARE = _accent_map()
+
+def _lower(c: Column) -> Column:
+    return F.lower(F.translate(c, "İIı", "iii"))
 
 
 def fold(c: Column) -> Column:
     """Lower case with dotted and dotless i as one letter and diacritics dropped.
 
-    Built-in functions alone: Latin letters that decompose to one letter and marks, and combining
+    Built-in functions alone: Latin and full-width letters that decompose to one, and combining
     marks. ``fold_exact`` covers all of Unicode.
     """
-    low = F.lower(F.translate(c, "İIı", "iii"))
-    return F.regexp_replace(F.translate(low, ACCENTED, BARE), r"\p{Mn}+", "")
+    return F.when(_is_ascii(c), F.lower(c)).otherwise(F.regexp_replace(F.translate(_lower(c), ACCENTED, BARE), r"\p{Mn}+", ""))
+
+
+def fold_text(text: str) -> str:
+    return _bare(text.translate(DOTS).lower())
 
 
 def fold_exact(c: Column) -> Column:
@@ -52,13 +97,7 @@ def fold_exact(c: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        def one(v: str | None) -> str | None:
-            if v is None:
-                return None
-            low = v.translate(str.maketrans("İIı", "iii")).lower()
-            return "".join(x for x in unicodedata.normalize("NFKD", low) if unicodedata.category(x) != "Mn")
-
-        return values.map(one)
+        return values.map(lambda v: None if v is None else fold_text(v))
 
     return run(c)
 
@@ -68,38 +107,74 @@ def copy_fold(c: Column) -> Column:
     return F.lower(F.translate(c, COPY_FOLD_FROM, COPY_FOLD_TO))
 
 
+def _without_suffixes(c: Column) -> Column:
+    return F.when(c.rlike(f"[{APOSTROPHES}]"), F.regexp_replace(c, SUFFIX, "")).otherwise(c)
+
+
+def _parts(run: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.translate(run, "_", " "), CAMEL, " "), " "), lambda p: p != "")
+
+
 def tokens(c: Column) -> Column:
-    """Search tokens in order, with duplicates: each run of word characters and, if it has several, its parts."""
-    runs = F.regexp_extract_all(F.regexp_replace(c, SUFFIX, ""), F.lit(f"([{WORD_CHARS}]+)"), 1)
+    """Search tokens in order, with duplicates: each run of word characters and, if it has several, its parts.
+
+    Folds as ``fold`` does; ``exact_token_bag`` is exact for all of Unicode.
+    """
+    runs = F.regexp_extract_all(_without_suffixes(c), F.lit(f"([{WORD_CHARS}]+)"), 1)
 
     def of_run(run: Column) -> Column:
-        parts = F.filter(F.split(F.regexp_replace(F.translate(run, "_", " "), CAMEL, " "), " "), lambda p: p != "")
+        parts = _parts(run)
         return F.when(F.size(parts) > 1, F.concat(F.array(fold(run)), F.transform(parts, fold))).when(F.size(parts) == 1, F.array(fold(run))).otherwise(F.array().cast("array<string>"))
 
     return F.filter(F.flatten(F.transform(runs, of_run)), lambda t: F.length(t) > 1)
 
 
+_SUFFIX, _CAMEL, _RUN = re.compile(rf"[{APOSTROPHES}]\w*"), re.compile(CAMEL), re.compile(r"\w+")
+
+
+def tokens_of(text: str) -> list[str]:
+    """Search tokens of one text in order, folded exactly."""
+    out = []
+    for run in _RUN.findall(_SUFFIX.sub("", text)):
+        parts = _CAMEL.sub(" ", run.replace("_", " ")).split()
+        out += [fold_text(x) for x in ([run, *parts] if len(parts) > 1 else [run] if parts else [])]
+    return [t for t in out if len(t) > 1]
+
+
+def exact_token_bag(c: Column) -> Column:
+    """The tokens of any text, folded exactly; runs in Python over Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else tokens_of(v))
+
+    return run(c)
+
+
 def token_bag(c: Column) -> Column:
-    """The same tokens as ``tokens`` in another order, folded a text at a time.
+    """The tokens of ``tokens`` in any order, for texts that aren't wide.
 
-    Folding keeps letters letters and marks marks, so runs of the folded text are the folded
-    runs; only runs with an underscore or a change of case are taken apart one by one.
+    A text is folded as a whole: that keeps word characters word characters, so runs of the folded
+    text are the folded runs; only runs with an underscore or a change of case are taken apart.
     """
-    plain = F.regexp_replace(c, SUFFIX, "")
-    folded = F.translate(F.lower(F.translate(plain, "İIı", "iii")), ACCENTED, BARE)
-    whole = F.filter(F.regexp_extract_all(folded, F.lit(f"([{WORD_CHARS}]+)"), 1), lambda t: (F.length(t) > 1) & (F.ltrim(t, F.lit("_")) != ""))
-    special = F.regexp_extract_all(plain, F.lit(f"([{WORD_CHARS}]*(?:_|{CAMEL})[{WORD_CHARS}]*)"), 1)
+    plain = _without_suffixes(c)
+    folded = F.when(_is_ascii(plain), F.lower(plain)).otherwise(F.translate(_lower(plain), ACCENTED, BARE))
+    runs = F.regexp_extract_all(folded, F.lit(f"[{WORD_CHARS}]{{2,}}"), 0)
+    whole = F.when(F.contains(folded, F.lit("_")), F.filter(runs, lambda t: F.ltrim(t, F.lit("_")) != "")).otherwise(runs)
+    split = F.filter(F.transform(F.regexp_extract_all(plain, F.lit(SPLIT_RUN), 1), _parts), lambda p: F.size(p) > 1)
+    more = F.filter(F.transform(F.flatten(split), fold), lambda t: F.length(t) > 1)
+    fast = F.when(plain.rlike(MAY_SPLIT), F.concat(whole, more)).otherwise(whole)
+    return fast
 
-    def parts(run: Column) -> Column:
-        return F.filter(F.split(F.regexp_replace(F.translate(run, "_", " "), CAMEL, " "), " "), lambda p: p != "")
 
-    more = F.flatten(F.transform(special, lambda run: F.when(F.size(parts(run)) > 1, F.transform(parts(run), fold)).otherwise(F.array().cast("array<string>"))))
-    return F.concat(whole, F.filter(more, lambda t: F.length(t) > 1))
+def is_wide(c: Column) -> Column:
+    """Whether a text has a character that the built-in folding doesn't cover."""
+    return ~_is_ascii(c) & (c.rlike(LATIN_EXCEPTIONS) | (c.rlike(f"[^\\x00-\\x{{{LATIN:x}}}]") & c.rlike(BEYOND)))
 
 
 def copy_words(c: Column) -> Column:
     """Words of the duplicate analysis: folded runs of letters and digits."""
-    return F.regexp_extract_all(copy_fold(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.filter(F.split(F.regexp_replace(copy_fold(c), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
 def blank_split(c: Column) -> Column:

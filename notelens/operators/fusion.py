@@ -85,7 +85,8 @@ def boost(scored: DataFrame, queries: DataFrame, features: DataFrame, today: Col
     active = recency.is_recency_query(F.col("text")) if recency_mode is None else F.lit(recency_mode)
     asked = queries.select("qid", active.alias("active"), (active & recency.is_state_query(F.col("text"))).alias("state"))
     rows = scored.join(features, "path").join(asked, "qid")
-    focus = focus_units(scored.join(asked.filter("state"), "qid", "left_semi"), features, unit_share(features)).withColumnRenamed("unit", "focus")
+    # an inner join stays above the ranking, so both branches read the same exchange and nothing is scored twice
+    focus = focus_units(scored.join(asked.filter("state").select("qid"), "qid"), features, unit_share(features)).withColumnRenamed("unit", "focus")
     rows = rows.join(focus, "qid", "left")
     bonus = (
         RECENCY_WEIGHT * recency.freshness(F.col("note_date"), today, half_life)

@@ -2,6 +2,8 @@
 
 import datetime
 import math
+import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -48,6 +50,36 @@ def test_tokens(spark, given, expected):
     assert row["t"] == expected and sorted(row["bag"]) == sorted(expected)
 
 
+WIDE = ["½ ﬁ İ Å ½x", "Москвой йод", "Ελλάδα ΣΊΣΥΦΟΣ", "한국어 값 뷁", "ｆｕｌｌ １２３", "ﾊx ｶﾞ", "ﬃ ŉ Ǆ №5 ™ Konsey’in", "Ⓐb aⒶ ℃ K", "日本語 がぎ 漢字", "عَرَبِيّ ﷲ", "ﬁ_HTTPServer fooBar", "é ño … x²y", "İSTANBUL ığdır", ""]
+
+
+def test_tokens_are_folded_exactly(spark):
+    """Against decomposition (NFKD) letter by letter; runs are taken apart first and folded then."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*WIDE, None])], "n int, text string")
+    got = {r["n"]: r["tokens"] for r in lexical.token_rows(rows, ["n"]).collect()}
+    for i, t in enumerate(WIDE):
+        assert sorted(got[i]) == sorted(text.tokens_of(t)), t
+    assert got[len(WIDE)] is None
+    assert text.tokens_of("ﬁne ｆｕｌｌ １２３ Москвой Ελλάδα") == ["fine", "full", "123", "москвои", "ελλαδα"]
+    notes = spark.createDataFrame([("a", "Москвой ﬁne"), ("b", "other words")], "path string, text string")
+    assert [r["path"] for r in lexical.bm25_topk(notes, queries(spark, "москвои FINE"), ["path"], 5).collect()] == ["a"]
+
+
+def test_every_letter_folds_as_it_decomposes(spark):
+    letters = [chr(c) for c in (*range(0x20, 0x3000), *range(0xFB00, 0x10000)) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    rows = spark.createDataFrame([(ord(c), f"xa{c}bz {c}{c}") for c in letters], "n int, text string")
+    wrong = [hex(r["n"]) for r in lexical.token_rows(rows, ["n"]).collect() if sorted(r["tokens"]) != sorted(text.tokens_of(f"xa{chr(r['n'])}bz {chr(r['n']) * 2}"))]
+    assert wrong == []
+
+
+@pytest.mark.parametrize("run", ["acgt" * 250_000, "é" * 1_000_000, "aB" * 100_000, "a_" * 100_000])
+def test_long_runs_are_looked_through_once(spark, run):
+    began = time.time()
+    n = spark.createDataFrame([(run,)], "t string").select(F.size(text.token_bag(F.col("t"))).alias("n")).first()["n"]
+    # the whole run, and parts of two letters or more (Ba Ba ... of aBaBa...)
+    assert n == (100_000 if run.startswith("aB") else 1) and time.time() - began < 8
+
+
 def test_exact_fold_decomposes_everything(spark):
     assert spark.range(1).select(text.fold_exact(F.lit("½ ﬁ İ Å")).alias("t")).first()["t"] == "1⁄2 fi i a"
 
@@ -178,6 +210,24 @@ def test_pool_ignores_padding():
     assert np.allclose(dense.pool(hidden, np.array([[1, 0]])), [[0.6, 0.8]])
 
 
+def test_embedder_pads_with_the_tokenizers_token():
+    from types import SimpleNamespace as Fake
+
+    model = dense.OnnxEmbedder.__new__(dense.OnnxEmbedder)
+    seen = []
+
+    def run(_, feed):
+        seen.append(feed)
+        return [np.stack([feed["input_ids"], feed["input_ids"] * 0 + 1], axis=2).astype(np.float32)]
+
+    model.tokenizer = Fake(encode_batch=lambda texts: [Fake(ids=[len(w) for w in t.split()]) for t in texts], token_to_id=lambda name: 9 if name == "[PAD]" else None)
+    model.session, model.inputs, model.max_tokens, model.pad = Fake(run=run), {"input_ids", "attention_mask"}, 4, dense.pad_id(model.tokenizer)
+    got = model.embed(["a bb ccc", "dddd", "a a a a a a bbb"])
+    means = np.array([[2.0, 1], [4, 1], [1.5, 1]])  # the long one keeps three and its last
+    assert np.allclose(got, means / np.linalg.norm(means, axis=1, keepdims=True)) and seen[0]["input_ids"].tolist() == [[4, 9, 9, 9], [1, 2, 3, 9], [1, 1, 1, 3]]
+    assert model.embed([]).shape[0] == 0
+
+
 def test_reranker_scores_pairs_in_order(spark, tmp_path):
     def fake_reranker():
         """Logits are sums of the unmasked ids of the second text."""
