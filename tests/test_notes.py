@@ -43,6 +43,14 @@ def test_sections_tags_and_parents():
     assert [c["parent_id"] for c in chunks] == [0, 1, 1, 2]
 
 
+def test_tag_rules():
+    body = "see (#tag) and x,#two and \"#three\" #four a#b &#x /#y ##z\n# #head\n```\n#code\n```\n`#c` #1 #ça-va/b"
+    assert chunking.inline_tags(body) == ["tag", "two", "three", "four", "ça-va/b"]
+    assert chunking.split_frontmatter("---\nmeta:\n  tags: nested\nTags: [a, 'b', #c]\n---\nx") == (["a", "b", "c"], "x")
+    assert chunking.split_frontmatter("---\ntags:\n- '#a b'\n  - \"c\"\nother: d\n---\nx")[0] == ["a b", "c"]
+    assert chunking.merge_tags(["straße", "Ab"], ["STRASSE", "aB"]) == ["straße", "Ab", "STRASSE"]
+
+
 def test_small_sections_join():
     chunks, _ = chunking.chunk_note("n.md", NOTE, limits(least=60))
     assert len(chunks) == 1
@@ -110,6 +118,12 @@ def test_boilerplate_is_no_evidence(spark):
     assert found.count() == 0
 
 
+def test_a_common_name_brings_no_pairs(spark):
+    texts = {f"d{i}/README.md": words_text(200 + i, 60) for i in range(40)} | {"x/Readme.md": words_text(201, 60)}
+    found = dupes.find_duplicates(chunk_rows(spark, texts)).collect()
+    assert [(r["kind"], r["paths"]) for r in found] == [("exact", ["d1/README.md", "x/Readme.md"])]
+
+
 def test_links(spark):
     rows = [("a/One.md", "[[Two]] [[two.md#x]] [[One]]"), ("b/two.md", "[[x/ONE|y]]"), ("c/two.md", "")]
     got = {r["path"]: (r["inbound"], r["outbound"]) for r in dupes.link_counts(spark.createDataFrame(rows, "path string, text string")).collect()}
@@ -237,6 +251,13 @@ def test_office_files():
         readers.extract("x.docx", b"no zip")
 
 
+def test_decoding_and_cells():
+    assert readers.decode(b"\xef\xbb\xbf\xc5\x9f") == readers.decode(b"\xfe") == "ş"
+    assert readers.decode(b"\x81\xff") == "\x81ÿ" and readers.decode("\ufffd".encode()) == "\ufffd" and readers.decode(b"") == ""
+    assert [readers.cell(v) for v in (None, 3.0, 2.5, True, "a|b\n c", float("inf"))] == ["", "3", "2.5", "True", "a\\|b c", "inf"]
+    assert readers.extract("t.tsv", b"a\tb\n1\t2\n").markdown == "# t\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"
+
+
 def test_text_files(spark):
     assert readers.extract("t.csv", "a;b\n1;ş\n".encode("cp1254")).markdown == "# t\n\n| a | b |\n| --- | --- |\n| 1 | ş |\n"
     assert readers.extract("t.txt", b"a\r\nb\r").markdown == "# t\n\na\nb\n"
@@ -261,6 +282,11 @@ def test_convert(tmp_path):
         convert.convert_file(str(tmp_path / "b.txt"), str(tmp_path))
     with pytest.raises(convert.ConvertError):
         convert.convert_file(str(f), str(tmp_path / "other"))
+    (tmp_path / "skip").mkdir()
+    (tmp_path / "skip" / "c.txt").write_text("x")
+    with pytest.raises(convert.ConvertError):
+        convert.convert_file(str(tmp_path / "skip" / "c.txt"), str(tmp_path), ["skip"])
+    assert convert.read_header("---\na: 1\n b: 2\n- c: 3\nd:e:f\n---\n") == {"a": "1", "d": "e:f"} and convert.read_header("a: 1") == {}
 
 
 def test_audit(spark, tmp_path):
