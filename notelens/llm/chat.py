@@ -43,30 +43,50 @@ def _unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit("\\n"), F.lit("\n")))
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
-    """``conv_id, formatted, loss_mask`` from rows ``conv_id, turn, role, text``."""
+def merged_runs(turns: DataFrame) -> DataFrame:
+    """``conv_id, runs``: a conversation's turns in order, adjacent ones of one role as one array of texts."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_ = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    shifted = sorted_.select(
-        "conv_id",
-        "turns",
-        F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice("turns", 1, F.size("turns") - 1), lambda t: t["role"])).alias("previous"),
-    )
-    # a run's mark stands before its first turn only; adjacent turns of one role follow each other
-    parts = F.zip_with(
-        "turns",
-        "previous",
-        lambda t, p: F.struct(
-            F.when(t["role"].eqNullSafe(p), F.lit("")).otherwise(F.concat(F.lit(RUN + " "), _escape_role(t["role"]), F.lit("\n"))).alias("mark"),
-            escape(t["text"]).alias("body"),
-            (t["role"] == LEARNT).alias("learnt"),
+
+    def begins(i: Column) -> Column:
+        return (i == 1) | (F.get("turns", i - 1)["role"] != F.get("turns", i - 2)["role"])
+
+    firsts = sorted_.select("conv_id", "turns", F.filter(F.sequence(F.lit(1), F.size("turns")), begins).alias("firsts"))
+
+    def run(i: Column, k: Column) -> Column:
+        after = F.coalesce(F.get("firsts", k + 1), F.size("turns") + 1)
+        return F.struct(F.get("turns", i - 1)["role"].alias("role"), F.transform(F.slice("turns", i, after - i), lambda t: t["text"]).alias("texts"))
+
+    return firsts.select("conv_id", F.transform("firsts", run).alias("runs"))
+
+
+def format_conversations(turns: DataFrame) -> DataFrame:
+    """``conv_id, formatted, loss_mask`` from rows ``conv_id, turn, role, text``.
+
+    A conversation is one value of the result, so its turns are gathered in one row; each is
+    copied a fixed number of times.
+    """
+    escaped = F.transform(
+        "runs",
+        lambda r: F.struct(
+            F.concat(F.lit(RUN + " "), _escape_role(r["role"]), F.lit("\n")).alias("mark"),
+            (r["role"] == LEARNT).alias("learnt"),
+            F.transform(r["texts"], escape).alias("bodies"),
         ),
     )
-    cut = shifted.select("conv_id", parts.alias("parts"))
-    return cut.select(
+    runs = merged_runs(turns).select("conv_id", escaped.alias("runs"))
+
+    def mask(r: Column) -> Column:
+        def of_turn(body: Column, i: Column) -> Column:
+            start = F.when(i == 0, F.length(r["mark"])).otherwise(0) + 1
+            return F.struct(start.alias("start"), F.when(r["learnt"], F.length(body)).otherwise(0).alias("length"))
+
+        return F.transform(r["bodies"], of_turn)
+
+    return runs.select(
         "conv_id",
-        F.array_join(F.transform("parts", lambda p: F.concat(p["mark"], p["body"], F.lit(TURN))), "").alias("formatted"),
-        F.transform("parts", lambda p: F.struct((F.length(p["mark"]) + 1).alias("start"), F.when(p["learnt"], F.length(p["body"])).otherwise(0).alias("length"))).alias("loss_mask"),
+        F.array_join(F.transform("runs", lambda r: F.concat(r["mark"], F.array_join(r["bodies"], TURN), F.lit(TURN))), "").alias("formatted"),
+        F.flatten(F.transform("runs", mask)).alias("loss_mask"),
     )
 
 
