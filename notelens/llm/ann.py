@@ -2,11 +2,12 @@
 
 The tree is fitted on a bounded sample; every row is dealt to a leaf. A query walks the tree
 with a priority queue of bins, the bin whose centre has the largest inner product first, and
-visits as many leaves as calibration asks for: visits are widened, over calibration queries
-whose neighbours are known from all rows by brute force, until the recall wanted is reached.
-Where these leaves hold fewer rows than are asked for, the walk goes on until they do.
-Queries meet the rows of a leaf in blocks; large leaves, and leaves that many queries visit,
-are split among tasks.
+visits leaves until they hold as many rows as calibration asks for: visits are widened, over
+calibration queries whose neighbours are known from all rows by brute force, until the recall
+wanted is reached. Where that is fewer rows than neighbours asked for, the walk goes on until
+it isn't. Neighbouring leaves are one task's group of rows; a query goes to a group once, with
+the leaves that it visits there, and meets the rows of these alone. Groups that are too large,
+or that many queries visit, are split among tasks.
 
 Scores are inner products in double precision on the original vectors, summed in one order
 for every row, so equal vectors tie exactly and the smaller vec_id comes first.
@@ -20,6 +21,7 @@ least of their vectors is the query; an empty table gives no rows; extra columns
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +33,12 @@ from notelens.llm.scratch import Scratch
 from notelens.llm.vectors import matrix, takes_part
 
 NEIGHBOURS = 20
-#: Rows that the tree is fitted on, at most; queries that calibrate it, at most.
-SAMPLE, CALIBRATION = 8192, 128
-RECALL = 0.97
+#: Rows that the tree is fitted on, at most (it has a leaf for 8 of them at most); queries that calibrate it, at most.
+SAMPLE, CALIBRATION = 32768, 128
+RECALL = 0.95
 BRANCHES = 8
-#: Rows of a leaf, about; most leaves; rows and queries of one task's block, about.
-LEAF_ROWS, MOST_LEAVES, BLOCK = 1000, 2048, 2000
+#: Rows of a leaf, about; rows and queries of one task's group, about: at least, and a share of all rows.
+LEAF_ROWS, BLOCK, GROUPS = 128, 2000, 2048
 
 
 class Tree:
@@ -45,7 +47,7 @@ class Tree:
     def __init__(self, sample: np.ndarray, leaves: int):
         self.random = np.random.default_rng(5)
         self.leaves = 0
-        self.root = self._grow(sample, max(1, len(sample) // leaves) if leaves else 1)
+        self.root = self._grow(sample, max(1, len(sample) // leaves))
 
     def _grow(self, rows: np.ndarray, small: int):
         if len(rows) <= max(small, BRANCHES) or (rows == rows[:1]).all():
@@ -74,18 +76,18 @@ class Tree:
             stack += [(child, at[own == k]) for k, child in enumerate(node[1])]
         return out
 
-    def visits(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
-        """Leaves in the order of the best bin first: ``most``, or more until they hold ``least`` rows by ``held``."""
+    def visits(self, query: np.ndarray, held: np.ndarray, least: int) -> list[int]:
+        """Leaves in the order of the best bin first, until they hold ``least`` rows by ``held``."""
         queue, found, order, rows = [(0.0, 0, self.root)], [], 0, 0
-        while queue and (len(found) < most or rows < least):
+        while queue and rows < least:
             _, _, node = heapq.heappop(queue)
             if isinstance(node, int):
                 found.append(node)
-                rows += int(held[node]) if held is not None else least
+                rows += int(held[node])
                 continue
-            for score, child in zip(node[0] @ query, node[1], strict=True):
+            for score, child in zip((node[0] @ query).tolist(), node[1], strict=True):
                 order += 1
-                heapq.heappush(queue, (-float(score), order, child))
+                heapq.heappush(queue, (-score, order, child))
         return found
 
 
@@ -93,11 +95,24 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(axis=1) - 2 * rows @ centres.T, axis=1)
 
 
-def top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query: positions, ids and exact scores of its ``k`` best rows, own id left out."""
+def top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, leaf: np.ndarray | None = None, asked: list[np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query: positions, ids and exact scores of its ``k`` best rows, own id left out.
+
+    With ``leaf``, the rows' leaves in ascending order, a query meets rows of the leaves that it has ``asked`` for.
+    """
+    if leaf is not None:
+        names, first = np.unique(leaf, return_index=True)
+        edges = np.append(first, len(leaf))
+        wanted = np.array([np.isin(names, a) for a in asked])
     for at in range(0, len(queries), 64):
         q, own = queries[at : at + 64], query_ids[at : at + 64]
-        rough = q @ rows.T
+        if leaf is None:
+            rough = q @ rows.T
+        else:
+            rough = np.full((len(q), len(rows)), -np.inf)
+            for n in range(len(names)):
+                met = np.flatnonzero(wanted[at : at + 64, n])
+                rough[met, edges[n] : edges[n + 1]] = q[met] @ rows[edges[n] : edges[n + 1]].T
         rough[own[:, None] == ids[None, :]] = -np.inf
         n = min(k, rows.shape[0])
         least = np.partition(rough, rough.shape[1] - n, axis=1)[:, -n]
@@ -148,16 +163,16 @@ def brute_force(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, tre
     return {r["query_id"]: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["scores"], np.float64), np.frombuffer(r["leaves"], np.int32)) for r in found}
 
 
-def calibrate(tree: Tree, known: dict, vectors: dict[int, np.ndarray], recall: float) -> int:
-    """The fewest leaf visits that find the wanted share of the known neighbours."""
-    ranks = []
+def calibrate(tree: Tree, known: dict, vectors: dict[int, np.ndarray], held: np.ndarray, recall: float) -> int:
+    """The fewest rows that a walk has to visit for the wanted share of the known neighbours."""
+    needed: list[np.ndarray] = []
     for query, (_, _, leaves) in known.items():
-        place = {leaf: n for n, leaf in enumerate(tree.visits(vectors[query], tree.leaves))}
-        ranks += [place[leaf] for leaf in leaves.tolist()]
-    ranks, most = np.array(ranks), 1
-    while most < tree.leaves and (ranks < most).mean() < recall:
-        most += 1
-    return most
+        order = tree.visits(vectors[query], held, int(held.sum()) + 1)
+        rows = np.zeros(len(held), np.int64)
+        rows[order] = np.cumsum(held[order])
+        needed.append(rows[leaves])
+    every = np.sort(np.concatenate([np.zeros(0, np.int64), *needed]))
+    return int(every[max(0, math.ceil(recall * len(every)) - 1)]) if len(every) else 0
 
 
 def search(rows: DataFrame, every: int, k: int = NEIGHBOURS, recall: float = RECALL) -> DataFrame:
@@ -170,36 +185,46 @@ def search(rows: DataFrame, every: int, k: int = NEIGHBOURS, recall: float = REC
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = common["dim"], common["count"]
     valid = valid.filter(F.size("v") == dim)
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
-    points = np.array([r["v"] for r in sample], np.float64)
-    tree = Tree(points, int(min(MOST_LEAVES, max(BRANCHES * 2, n // LEAF_ROWS))))
-    vectors = {r["vec_id"]: points[i] for i, r in enumerate(sample[:CALIBRATION])}
-    known = brute_force(valid, np.array(list(vectors)), np.array(list(vectors.values())), tree, k)
-    visits = calibrate(tree, known, vectors, recall)
+    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()
+    points, named = matrix(sample.column("v").combine_chunks(), dim), sample.column("vec_id").to_pylist()
+    tree = Tree(points, min(max(n // LEAF_ROWS, 2 * BRANCHES), max(1, len(points) // 8)))
     shared = spark.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.leaf_of(matrix(batch.column("v"), dim)))], ["vec_id", "v", "leaf"])
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            queries, own = matrix(batch.column("v"), dim), batch.column("own").to_numpy()
-            found = [shared.value.visits(q, visits, held, k + int(n)) for q, n in zip(queries, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
-
     kind = valid.schema["v"].dataType.simpleString()
     dealt = scratch.write(valid.mapInArrow(deal, f"vec_id long, v {kind}, leaf int"), "dealt")
     held = np.zeros(tree.leaves, np.int64)
     for r in dealt.groupBy("leaf").count().collect():  # a row for each leaf
         held[r["leaf"]] = r["count"]
+    vectors = {named[i]: points[i] for i in range(min(CALIBRATION, len(named)))}
+    known = brute_force(valid, np.array(list(vectors)), np.array(list(vectors.values())), tree, k)
+    visited = calibrate(tree, known, vectors, held, recall)
+    # leaves that follow each other, some `block` rows in all
+    block = max(BLOCK, n // GROUPS)
+    group_of = ((np.cumsum(held) - held) // block).astype(np.int32)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, at, groups, leaves = batch.column("own").to_numpy(), [], [], []
+            for i, q in enumerate(matrix(batch.column("v"), dim)):
+                found = np.sort(np.array(shared.value.visits(q, held, max(visited, k + int(own[i]))), np.int32))
+                for part in np.split(found, np.flatnonzero(np.diff(group_of[found])) + 1):
+                    at.append(i)
+                    groups.append(group_of[part[0]])
+                    leaves.append(part)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[:2]), pa.array(groups, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "v", "group", "leaves"])
+
     # rows of a query's own id are no candidates
     asked = valid.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
-    walked = scratch.write(asked.mapInArrow(walk, f"vec_id long, v {kind}, leaves array<int>"), "walked")
-    met = walked.select("vec_id", "v", F.explode("leaves").alias("leaf"))
-    parts = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("row_parts"))
-    parts = parts.join(met.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_parts")), "leaf")
-    parts = F.broadcast(parts)  # a row for each leaf, MOST_LEAVES or so
+    met = scratch.write(asked.mapInArrow(walk, f"vec_id long, v {kind}, group int, leaves array<int>"), "walked")
+    of_leaf = F.broadcast(spark.createDataFrame(list(zip(range(tree.leaves), group_of.tolist(), strict=True)), "leaf int, group int"))
+    placed = dealt.join(of_leaf, "leaf")
+    parts = placed.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("row_parts"))
+    parts = parts.join(met.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("query_parts")), "group")
+    parts = F.broadcast(parts)  # a row for each group, a leaf or more
 
     def salt(parts_of: str):
         return F.pmod(F.xxhash64("vec_id"), F.col(parts_of)).cast("int")
@@ -207,17 +232,20 @@ def search(rows: DataFrame, every: int, k: int = NEIGHBOURS, recall: float = REC
     def all_of(parts_of: str):
         return F.explode(F.sequence(F.lit(0), F.col(parts_of) - 1))
 
-    key = ["leaf", "row_part", "query_part"]
-    left = met.join(parts, "leaf").withColumn("query_part", salt("query_parts")).withColumn("row_part", all_of("row_parts")).select(*key, "vec_id", "v")
-    right = dealt.join(parts, "leaf").withColumn("row_part", salt("row_parts")).withColumn("query_part", all_of("query_parts")).select(*key, "vec_id", "v")
+    key = ["group", "row_part", "query_part"]
+    left = met.join(parts, "group").withColumn("query_part", salt("query_parts")).withColumn("row_part", all_of("row_parts")).select(*key, "vec_id", "v", "leaves")
+    right = placed.join(parts, "group").withColumn("row_part", salt("row_parts")).withColumn("query_part", all_of("query_parts")).select(*key, "vec_id", "v", "leaf")
 
     def meet(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not len(queries) or not len(candidates):
             return _lists([])
+        candidates = candidates.sort_by("leaf").combine_chunks()
         own, ids = queries.column("vec_id").to_numpy(), candidates.column("vec_id").to_numpy()
         q, v = (matrix(t.column("v").combine_chunks(), dim) for t in (queries, candidates))
+        flat, sizes = queries.column("leaves").combine_chunks().flatten().to_numpy(), queries.column("leaves").combine_chunks().value_lengths().to_numpy()
+        leaves = np.split(flat, np.cumsum(sizes)[:-1])
         empty = np.empty(0, np.int32).tobytes()
-        return _lists([(int(own[i]), found.tobytes(), score.tobytes(), empty) for i, _, found, score in top(q, own, v, ids, k)])
+        return _lists([(int(own[i]), found.tobytes(), score.tobytes(), empty) for i, _, found, score in top(q, own, v, ids, k, candidates.column("leaf").to_numpy(), leaves)])
 
     def rank(table: pa.Table) -> pa.Table:
         ids, scores = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("ids", np.int64), ("scores", np.float64)))

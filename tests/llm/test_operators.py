@@ -307,6 +307,7 @@ def test_ann(spark):
 def test_ann_goes_on_past_small_leaves(spark, monkeypatch):
     # clusters of 4 rows in directions of their own: what calibration asks for holds fewer than 20 rows
     monkeypatch.setattr(ann, "calibrate", lambda *_: 1)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 4)
     r = np.random.default_rng(6)
     centres = 50 * np.eye(60)
     v = np.repeat(centres, 4, axis=0) + 0.01 * r.standard_normal((240, 60))
