@@ -18,13 +18,16 @@ kept; extra columns play no part.
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelens.llm import bpe
@@ -178,21 +181,22 @@ def frequent_units(docs: DataFrame, most: int, scratch: Scratch) -> list[bytes]:
     return sorted(bytes(r["unit"]) for r in rows)
 
 
-def write_lexicon(folder: str, data: bytes) -> str:
+def write_lexicon(spark: SparkSession, folder: str, data: bytes) -> str:
+    """Writes the lexicon to the shared folder; where workers can't map a file there, Spark hands each a copy."""
     store, inner = fs.FileSystem.from_uri(folder)
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     store.create_dir(inner, recursive=True)
-    with store.open_output_stream(f"{inner}/lexicon.bin", compression=None) as f:
+    with store.open_output_stream(f"{inner}/{name}", compression=None) as f:
         f.write(data)
-    return f"{folder}/lexicon.bin"
+    if isinstance(store, fs.LocalFileSystem):
+        return f"{inner}/{name}"
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name
 
 
 def open_lexicon(path: str) -> Lexicon:
-    """Memory-mapped where the shared folder is mounted, else read once by the worker."""
-    store, inner = fs.FileSystem.from_uri(path)
-    if isinstance(store, fs.LocalFileSystem):
-        return Lexicon(np.memmap(inner, np.uint8, "r"))
-    with store.open_input_file(inner) as f:
-        return Lexicon(f.read())
+    """Memory-mapped: a path where the shared folder is mounted, else the name of the worker's copy."""
+    return Lexicon(np.memmap(path if os.path.isabs(path) else SparkFiles.get(path), np.uint8, "r"))
 
 
 def codec_digests(docs: DataFrame, vocabulary: str, pattern: str, words: int = LEXICON_WORDS) -> DataFrame:
@@ -201,7 +205,7 @@ def codec_digests(docs: DataFrame, vocabulary: str, pattern: str, words: int = L
     units = frequent_units(docs, words, scratch)
     ids, starts = Codec(vocabulary, pattern).encode_units(units)
     lexicon = {u: ids[a:b].tolist() for u, a, b in zip(units, starts[:-1], starts[1:], strict=True)}
-    path = write_lexicon(scratch.path, compile_words(lexicon))
+    path = write_lexicon(docs.sparkSession, scratch.path, compile_words(lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary, pattern, open_lexicon(path))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_ENTRY = [("states", "<i8"), ("arcs", "<i8"), ("words", "<i8"), ("ids", "<i8")]
+_ENTRY = [("states", "<i8"), ("arcs", "<i8"), ("words", "<i8"), ("ids", "<i8"), ("root", "<i8")]
 
 
 def compile_words(words: dict[bytes, list[int]]) -> bytes:
@@ -46,20 +46,19 @@ def compile_words(words: dict[bytes, list[int]]) -> bytes:
     below = np.zeros(len(states), np.int64)  # children are settled before their parents
     for s, (accepts, arcs) in enumerate(states):
         below[s] = accepts + sum(below[c] for _, c in arcs)
-    first = np.zeros(len(states) + 1, np.int32)
-    labels, targets, skipped, final = [], [], [], np.zeros(len(states), np.uint8)
+    # one sorted key for each arc (state, byte), for walking many words at once
+    keys, targets, skipped, final = [], [], [], np.zeros(len(states), np.uint8)
     for s, (accepts, arcs) in enumerate(states):
         final[s], passed = accepts, int(accepts)
         for b, child in arcs:
-            labels.append(b)
+            keys.append(s * 256 + b)
             targets.append(child)
             skipped.append(passed)
             passed += int(below[child])
-        first[s + 1] = len(labels)
     flat = np.array([i for w in ordered for i in words[w]], "<i4")
     starts = np.concatenate([[0], np.cumsum([len(words[w]) for w in ordered])]).astype("<i4")
-    head = np.array([(len(states), len(labels), len(ordered), len(flat))], _ENTRY)
-    parts = [head, np.array([root], "<i4"), first.astype("<i4"), np.array(targets, "<i4"), np.array(skipped, "<i4"), starts, flat, np.array(labels, np.uint8), final]
+    head = np.array([(len(states), len(keys), len(ordered), len(flat), root)], _ENTRY)
+    parts = [head, np.array(keys, "<i8"), np.array(targets, "<i4"), np.array(skipped, "<i4"), starts, flat, final]
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -76,13 +75,9 @@ class Lexicon:
             at += out.nbytes
             return out
 
-        n, arcs, words, ids = (int(x) for x in head)
-        self.root = int(take("<i4", 1)[0])
-        self.first, self.targets, self.skipped = take("<i4", n + 1), take("<i4", arcs), take("<i4", arcs)
-        self.starts, self.ids = take("<i4", words + 1), take("<i4", ids)
-        self.labels, self.final = take("u1", arcs), take("u1", n)
-        # one sorted key for each arc, for walking many words at once
-        self.keys = np.repeat(np.arange(n, dtype=np.int64), np.diff(self.first)) * 256 + self.labels
+        n, arcs, words, ids, self.root = (int(x) for x in head)
+        self.keys, self.targets, self.skipped = take("<i8", arcs), take("<i4", arcs), take("<i4", arcs)
+        self.starts, self.ids, self.final = take("<i4", words + 1), take("<i4", ids), take("u1", n)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The number of each word; -1 if the automaton doesn't accept it. All words take a step together."""
@@ -90,7 +85,7 @@ class Lexicon:
         raw = np.frombuffer(b"".join(words), np.uint8)
         starts = np.cumsum(sizes) - sizes
         state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
-        live = np.arange(len(words)) if len(self.labels) else np.empty(0, np.int64)
+        live = np.arange(len(words)) if len(self.keys) else np.empty(0, np.int64)
         out = np.full(len(words), -1, np.int64)
         step = 0
         while len(live):
