@@ -145,8 +145,10 @@ def decide(pages: DataFrame) -> DataFrame:
     sized = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
-    keepers = sized.filter(F.col("size") >= LEAST).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return sized.join(keepers, ["digest", "size"], "left")
+    large, small = sized.filter(F.col("size") >= LEAST), sized.filter(F.col("size") < LEAST)
+    keepers = large.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # small payloads have no copies to look for, so they aren't shuffled
+    return large.join(keepers, ["digest", "size"], "left").unionByName(small.withColumn("keeper", F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
