@@ -216,18 +216,18 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FITTED) -> Classifier:
     return Classifier(rarity, [tuple(np.frombuffer(r[c], "<i4") for c in ("terms", "counts")) for r in rows], [r["label"] for r in rows])
 
 
-def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``docs`` with a column ``score`` (an input column of that name gives way)."""
-    names = [c for c in docs.columns if c.lower() != "score"]
+def score(docs: DataFrame, classifier: Classifier, result: str = "score") -> DataFrame:
+    """``docs`` with a column of scores (an input column of that name gives way)."""
+    names = [c for c in docs.columns if c.lower() != result.lower()]
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = batch.column("text").cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(texts))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(texts))], [*names, result])
 
     kept = docs.select(*names)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(result, T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:

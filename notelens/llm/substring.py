@@ -39,6 +39,8 @@ WINDOW = 35
 LEVELS = (9, 18, WINDOW)
 #: Anchors of one bucket, about; rows that a task holds before it hands them on.
 BUCKET_ANCHORS, HELD_ANCHORS = 200_000, 400_000
+#: Bytes of text in one partition of a join, about.
+JOIN_BYTES = 32 << 20
 #: Only sets the number of buckets.
 BYTES_A_WORD = 6
 
@@ -259,24 +261,26 @@ def _last_level(candidates: DataFrame, buckets: int) -> DataFrame:
     return candidates.mapInArrow(scan, _Held.SCHEMA).groupBy("bucket").applyInArrow(lambda t: _match(t, np.uint64), FOUND)
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``n_words, n_removed, kept``: its words but those of repeated windows, one space between."""
+def removed(docs: DataFrame, results: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
+    """``docs`` with three ``results``: words, words removed, and what is kept with one space between words."""
     scratch = Scratch(docs.sparkSession, "substring")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept", "__text", "__name", "__spans")])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in {*map(str.lower, results), "__text", "__name", "__spans"}])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = size // BYTES_A_WORD * 2 // (WINDOW - LEVELS[0] + 2) // BUCKET_ANCHORS + 1
     named = docs.withColumn("__text", text).withColumn("__name", F.xxhash64("doc_id", "__text"))
     thin = named.select(F.col("__name").alias("name"), F.col("__text").alias("text"))
 
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // JOIN_BYTES)
+
     found = scratch.write(_first_levels(thin, buckets), "found")
     by_name = found.groupBy("name").agg(F.collect_set("span").alias("found"))
-    candidates = thin.join(by_name, "name").select("name", "text", "found")
+    candidates = thin.repartition(tasks, "name").join(by_name, "name").select("name", "text", "found")
     again = scratch.write(_last_level(candidates, 3 * buckets), "again")
     scratch.drop("found")
     cut = again.groupBy(F.col("name").alias("__name")).agg(F.collect_set("span").alias("__spans"))
     clear, rest = split_by(named, F.col("__name"), again.select("name"))
-    joined = clear.withColumn("__spans", F.lit(None).cast(cut.schema["__spans"].dataType)).unionByName(rest.join(cut, "__name", "left")).drop("__name")
+    joined = clear.withColumn("__spans", F.lit(None).cast(cut.schema["__spans"].dataType)).unionByName(rest.repartition(tasks, "__name").join(cut, "__name", "left")).drop("__name")
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,9 +298,9 @@ def removed(docs: DataFrame) -> DataFrame:
                     words = [words[i] for i in np.flatnonzero(stays).tolist()]
                 gone.append(totals[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*names, *results])
 
-    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    more = [T.StructField(name, kind) for name, kind in zip(results, (T.LongType(), T.LongType(), T.StringType()), strict=True)]
     return joined.mapInArrow(keep, T.StructType([*docs.schema.fields, *more]))
 
 
