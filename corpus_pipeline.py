@@ -13,6 +13,8 @@ from notelens.llm.quality import score
 from notelens.llm.queries import quality_classifier
 from notelens.llm.scratch import Scratch, read_table, split_by
 
+#: Columns of the stages' own, apart from any that documents may have.
+SCORE, REMOVED = "__score", ("__n_words", "__n_removed", "__kept")
 #: A document whose score is lower goes.
 LEAST_SCORE = 0.5
 
@@ -22,7 +24,7 @@ ORACLE_SQL = None
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    return score(docs, quality_classifier(spark, sf_dir, docs)).filter(F.col("score") >= LEAST_SCORE).drop("score")
+    return score(docs, quality_classifier(spark, sf_dir, docs), SCORE).filter(F.col(SCORE) >= LEAST_SCORE).drop(SCORE)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = scratch.write(near_duplicate_rows(docs), "components")
     gone = found.filter("doc_id <> component_id or text_hash <> component_hash").filter("doc_id is not null").select("doc_id", "text_hash").distinct()
     clear, rest = split_by(docs, F.xxhash64("doc_id"), gone.select(F.xxhash64("doc_id")))
-    rest = rest.withColumn("text_hash", text_hash(F.col("text"))).join(gone, ["doc_id", "text_hash"], "left_anti")
+    gone = gone.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"))
+    rest = rest.join(gone, (rest["doc_id"] == F.col("__doc_id")) & (text_hash(rest["text"]) == F.col("__text_hash")), "left_anti")
     kept = clear.unionByName(rest.select(*docs.columns))
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
@@ -46,8 +49,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that stand elsewhere as well."""
-    kept = substring.removed(docs)
-    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    kept = substring.removed(docs, REMOVED)
+    text = F.col(REMOVED[-1])
+    return kept.withColumn("text", text).withColumn("n_chars", F.length(text).cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
