@@ -48,7 +48,7 @@ MOST_COUNTED = 65535
 #: Matches a document may ask for.
 MATCHES = np.array([1, 2, 4, 8, 16, 32])
 #: Prefix tokens of one bucket, about; rows that a task holds before it hands them on.
-BUCKET_TOKENS, HELD_TOKENS = 500_000, 2_000_000
+BUCKET_TOKENS, HELD_TOKENS = 100_000, 1_000_000
 #: Postings in one packed row.
 PACKED = 1 << 16
 #: Nodes of one token up to which its pairs are listed; nodes of a block.
