@@ -21,12 +21,15 @@ def components(edges: DataFrame) -> DataFrame:
         return df.checkpoint() if shared else df.persist()
 
     labels = keep(labels)
+    labels.count()
     while True:
         near = both.join(labels.select(F.col("path").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(near, labels["path"] == near["a"]).select("path", F.least("root", "m").alias("root"))
         jump = lower.join(lower.select(F.col("path").alias("p"), F.col("root").alias("further")), F.col("root") == F.col("p"), "left")
         following = keep(jump.select("path", F.least("root", F.coalesce("further", "root")).alias("root")))
-        changed = following.join(labels.withColumnRenamed("root", "was"), "path").filter("root <> was").isEmpty()
+        changed = following.join(labels.withColumnRenamed("root", "was"), "path").filter("root <> was").count()
+        labels.unpersist()
         labels = following
-        if changed:
+        if not changed:
+            both.unpersist()
             return labels.select("root", "path")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from notelens.functions import recency
 from notelens.operators.dense import dense_topk
-from notelens.operators.lexical import PLACES, bm25_scores, ranked
+from notelens.operators.lexical import PLACES, bm25_scores, query_terms, ranked, score_postings
 
 KEYS = ["path", "index"]
 RRF_K, CANDIDATES, RERANK_TOP = 60, 50, 40
@@ -132,6 +132,12 @@ class Searcher:
     embed: Callable[[DataFrame], DataFrame] | None = None
     rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
+    def lexical_scores(self, asked: DataFrame) -> DataFrame:
+        return bm25_scores(self.chunks, asked, KEYS, "embed_text")
+
+    def features(self) -> DataFrame:
+        return note_features(self.chunks)
+
     def scored(self, queries: DataFrame, mode: str = "hybrid", rerank: bool = False, recency_mode: bool | None = None, today: Column | None = None) -> DataFrame:
         if mode not in MODES:
             raise ValueError(f"unknown mode: {mode}")
@@ -142,14 +148,14 @@ class Searcher:
         asked = queries.filter(F.length(F.trim("text")) > 0)
         rankings = []
         if mode != "dense":
-            rankings.append(ranked(bm25_scores(self.chunks, asked, KEYS, "embed_text"), KEYS, CANDIDATES))
+            rankings.append(ranked(self.lexical_scores(asked), KEYS, CANDIDATES))
         if mode != "bm25":
             rankings.append(dense_topk(self.vectors, self.embed(asked), KEYS, CANDIDATES))
         fused = rrf(rankings)
         if rerank:
             fused = rerank_splice(fused, self.rerank(asked, rerank_candidates(fused))).select("qid", *KEYS, "score")
         if recency_mode is not False:
-            fused = boost(fused, asked, note_features(self.chunks), today if today is not None else F.current_date(), recency_mode=recency_mode)
+            fused = boost(fused, asked, self.features(), today if today is not None else F.current_date(), recency_mode=recency_mode)
         return fused
 
     def search(self, queries: DataFrame, k: int = 5, max_per_note: int | None = None, **how) -> DataFrame:
@@ -158,3 +164,24 @@ class Searcher:
 
     def search_notes(self, queries: DataFrame, k: int = 5, **how) -> DataFrame:
         return date_and_title(group_notes(self.scored(queries, **how), k))
+
+
+@dataclass(frozen=True)
+class IndexSearcher(Searcher):
+    """The same searches on tables of an index (``indexing.Index``): no text is tokenised but the queries'."""
+
+    postings: DataFrame | None = None
+    term_stats: DataFrame | None = None
+    corpus_stats: DataFrame | None = None
+    notes: DataFrame | None = None
+
+    @classmethod
+    def of(cls, index, embed: Callable[[DataFrame], DataFrame] | None = None, rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> IndexSearcher:
+        names = ("postings", "term_stats", "corpus_stats", "notes")
+        return cls(index.table("chunks"), index.table("vectors"), embed, rerank, *map(index.table, names))
+
+    def lexical_scores(self, asked: DataFrame) -> DataFrame:
+        return score_postings(self.postings, self.term_stats, self.corpus_stats, query_terms(asked), KEYS)
+
+    def features(self) -> DataFrame:
+        return self.notes

@@ -87,12 +87,23 @@ def tokenize_terms(spark, sf_dir):
     return lexical.postings(notes_of(spark, sf_dir), ["path"]).select("path", "term", "tf")
 
 
-TEXTS = [SINGLE, "Konsey'in İĞÜŞÖÇ ığüşöç IĞDIR", "HTTPServer fooBar RAG_VAULT_ROOT a _ x2Y", "café naïve Straße ÀÉÎ"]
+TEXTS = [SINGLE, "Konsey'in İĞÜŞÖÇ ığüşöç IĞDIR", "HTTPServer fooBar RAG_VAULT_ROOT a _ x2Y", "café naïve Straße ÀÉÎ", "Москвой йод Ёлка", "Ελλάδα Άνοιξη", "ﬁne ﬁ_HTTPServer", "ｆｕｌｌ １２３"]
 
 
-@query(f"SELECT n, {sql.tokens('q')} AS tokens, {sql.words('q')} AS words FROM {values_sql(TEXTS, 'q')}")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts, and texts of many scripts with negative numbers."""
+    hard = inline(spark, TEXTS, "q").select((-1 - F.col("n")).alias("n"), "q")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("q")).unionByName(hard)
+
+
+_TEXTS = f"texts AS (SELECT item_id AS n, text AS q FROM benchmark UNION ALL SELECT -1 - n, q FROM {values_sql(TEXTS, 'q')})"
+
+
+@query(f"WITH {_TEXTS} SELECT n, list_sort({sql.tokens('q', sql.fold_wide)}) AS tokens, {sql.words('q')} AS words FROM texts")
 def fold_and_split(spark, sf_dir):
-    return inline(spark, TEXTS, "q").select("n", text.tokens(F.col("q")).alias("tokens"), text.copy_words(F.col("q")).alias("words"))
+    texts = _texts(spark, sf_dir)
+    words = texts.select("n", text.copy_words(F.col("q")).alias("words"))
+    return lexical.token_rows(texts, ["n"], "q").select("n", F.sort_array("tokens").alias("tokens")).join(words, "n")
 
 
 @query(f"WITH {sql.NOTES} SELECT path, CASE WHEN length(text) > 600 THEN left(text, 599) || '…' ELSE text END AS clipped, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 170) AS snippet FROM notes")
@@ -278,7 +289,14 @@ def folder_unit_share(spark, sf_dir):
     return fusion.unit_share(fusion.note_features(notes_of(spark, sf_dir))).select("unit", F.round("share", 9).alias("share"))
 
 
-_TOKS = f"toks AS (SELECT n, q, {sql.tokens('q')} AS t FROM {values_sql(QUESTIONS, 'q')})"
+def _asked_about(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text after one of the questions."""
+    of_item = F.get(F.array(*[F.lit(q) for q in QUESTIONS]), (F.col("item_id") % len(QUESTIONS)).cast("int"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.concat(of_item, F.lit(" "), F.col("text")).alias("q"))
+
+
+_ASKED_ABOUT = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS) + f"][item_id % {len(QUESTIONS)} + 1] || ' ' || text"
+_TOKS = f"made AS (SELECT item_id AS n, {_ASKED_ABOUT} AS q FROM benchmark), toks AS (SELECT n, q, {sql.tokens('q')} AS t FROM made)"
 _RECENT = "(list_has_any(t, ['guncel', 'son', 'simdi', 'neredeyiz', 'acil', 'yeni', 'bugun']) OR contains(' ' || array_to_string(t, ' ') || ' ', ' su an '))"
 _STATE = r"""(regexp_matches(' ' || array_to_string(t, ' '), ' neredey') OR (regexp_matches(' ' || array_to_string(t, ' '), ' durum') AND """ + _RECENT + r""")
  OR contains(' ' || array_to_string(t, ' ') || ' ', ' su an ') OR regexp_matches(' ' || array_to_string(t, ' ') || ' ', ' en son (ne|hangi|neler|nelerdi|neydi) '))"""
@@ -286,16 +304,21 @@ _STATE = r"""(regexp_matches(' ' || array_to_string(t, ' '), ' neredey') OR (reg
 
 @query(f"WITH {_TOKS} SELECT n, {_RECENT} AS recent, {_STATE} AS state FROM toks")
 def question_class(spark, sf_dir):
-    return inline(spark, QUESTIONS, "q").select("n", recency.is_recency_query(F.col("q")).alias("recent"), recency.is_state_query(F.col("q")).alias("state"))
+    return _asked_about(spark, sf_dir).select("n", recency.is_recency_query(F.col("q")).alias("recent"), recency.is_state_query(F.col("q")).alias("state"))
+
+
+_STATUS_PATH = "source || '/' || doc_id || '/' || [" + ", ".join("'" + p.replace("'", "''") + "'" for p in PATHS) + f"][doc_id % {len(PATHS)} + 1]"
 
 
 @query(
-    f"""WITH x AS (SELECT n, path, {sql.tokens("regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '')")} AS t FROM {values_sql(PATHS, 'path')})
+    f"""WITH x AS (SELECT n, path, {sql.tokens("regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '')")} AS t FROM (SELECT doc_id AS n, {_STATUS_PATH} AS path FROM documents))
 SELECT n, list_has_any(t, ['indeks', 'index', 'devam']) OR list_has_all(t, ['guncel', 'durum']) AS is_status,
   list_sort(list_intersect(list_distinct({sql.words('path')}), ['yedek', 'backup', 'kopya', 'copy', 'eski', 'old', 'arsiv', 'archive'])) AS hints FROM x"""
 )
 def status_notes_and_hints(spark, sf_dir):
-    return inline(spark, PATHS, "path").select("n", recency.is_status_note(F.col("path")).alias("is_status"), dupes.path_hints(F.col("path")).alias("hints"))
+    named = F.get(F.array(*[F.lit(p) for p in PATHS]), (F.col("doc_id") % len(PATHS)).cast("int"))
+    paths = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.concat_ws("/", "source", F.col("doc_id").cast("string"), named).alias("path"))
+    return paths.select("n", recency.is_status_note(F.col("path")).alias("is_status"), dupes.path_hints(F.col("path")).alias("hints"))
 
 
 # --- chunks ------------------------------------------------------------------------------

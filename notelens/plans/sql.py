@@ -9,13 +9,18 @@ def fold(x: str) -> str:
     return f"strip_accents(lower(translate({x}, 'İIı', 'iii')))"
 
 
+def fold_wide(x: str) -> str:
+    """The same for texts with these compatibility letters, which ``strip_accents`` leaves alone."""
+    return f"replace(translate({fold(x)}, 'ｆｕｌ１２３', 'ful123'), 'ﬁ', 'fi')"
+
+
 def _parts(x: str) -> str:
     low_up = r"'([a-zçğıöşü0-9])([A-ZÇĞİÖŞÜ])', '\1 \2', 'g'"
     up_word = r"'([A-ZÇĞİÖŞÜ])([A-ZÇĞİÖŞÜ][a-zçğıöşü])', '\1 \2', 'g'"
     return f"list_filter(string_split(regexp_replace(regexp_replace(replace({x}, '_', ' '), {low_up}), {up_word}), ' '), lambda p: p <> '')"
 
 
-def tokens(x: str) -> str:
+def tokens(x: str, fold=fold) -> str:
     runs = f"regexp_extract_all(regexp_replace({x}, '[''’‘`´]{LETTERS}*', '', 'g'), '{LETTERS}+')"
     of_run = f"CASE WHEN len({_parts('r')}) > 1 THEN list_prepend({fold('r')}, list_transform({_parts('r')}, lambda s: {fold('s')})) WHEN len({_parts('r')}) = 1 THEN [{fold('r')}] ELSE [] END"
     return f"list_filter(flatten(list_transform({runs}, lambda r: {of_run})), lambda t: length(t) > 1)"

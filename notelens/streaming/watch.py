@@ -26,12 +26,17 @@ class Maintainer:
 
     def __init__(self, reindex: Callable[[], object], period: float):
         self.reindex, self.period = reindex, period
+        self.failure: Exception | None = None
         self._stop = threading.Event()
         self._thread = threading.Thread(target=self._run, daemon=True)
 
     def _run(self) -> None:
         while not self._stop.wait(self.period):
-            self.reindex()
+            try:
+                self.reindex()
+                self.failure = None
+            except Exception as e:  # the next period tries again; the last failure can be asked for
+                self.failure = e
 
     def start(self) -> Maintainer:
         self._thread.start()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelens import config
-from notelens.operators import audit, chunking, convert, dense, dupes, evaluate, indexing, noise
+from notelens.operators import audit, chunking, convert, dense, dupes, evaluate, fusion, indexing, noise
 from notelens.sources import locks, notes, readers
 
 NOTE = """---
@@ -189,6 +189,14 @@ def test_index_life(spark, tmp_path):
     texts = {r["path"]: r["text"] for r in index.table("chunks").collect()}
     assert set(texts) == {"a.md", "c.md", "_d.md"} and "other" in texts["a.md"]
     assert {r["term"] for r in index.table("postings").collect()} >= {"other", "hidden"}
+    asked = spark.createDataFrame([(0, "other words"), (1, "hidden"), (2, "note c")], "qid long, text string")
+    stored = fusion.IndexSearcher.of(index, lambda q: q.withColumn("q", dense.embed_column(lambda: embedder, "")(F.col("text"))).select("qid", "q"))
+    plain = fusion.Searcher(stored.chunks, stored.vectors, stored.embed)
+    for mode in fusion.MODES:
+        got, want = ([tuple(r) for r in s.search(asked, 3, mode=mode).orderBy("qid", "rank").collect()] for s in (stored, plain))
+        assert got == want and len(got) > 3
+    plan = stored.search(asked, 3, mode="bm25")._jdf.queryExecution().optimizedPlan().toString()
+    assert "embed_text" not in plan
     with open(tmp_path / "index" / "CURRENT", "w") as f:
         f.write("broken")
     assert run().full
