@@ -113,7 +113,7 @@ def _scan(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, text_hash long, node long, n long, slice int, counts binary").withColumn("part", F.spark_partition_id())
 
 
-def _sum_sketch(parts: DataFrame) -> np.ndarray:
+def _sum_sketch(parts: DataFrame, bits: int) -> np.ndarray:
     """Sums the tasks' sketches in a tree of up to 64 parts a step; the result has a fixed size."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -127,7 +127,10 @@ def _sum_sketch(parts: DataFrame) -> np.ndarray:
         most = (most or 0) // 64
         if most == 0:
             break
-    return np.concatenate([_unpacked_counts(r["counts"]) for r in sorted(parts.collect(), key=lambda r: r["slice"])])
+    out = np.zeros((SKETCH_SLICES, (1 << bits) // SKETCH_SLICES), np.uint16)
+    for r in parts.collect():  # none where the table has no partitions
+        out[r["slice"]] = _unpacked_counts(r["counts"])
+    return out.ravel()
 
 
 def _rest(n):
@@ -421,7 +424,7 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
     bits = min(max((words // 16).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
     scanned = scratch.write(_scan(docs, bits), "scan")
     base = scanned.filter("kind = 0").select("doc_id", "text_hash", "node", "n")
-    sketch = _sum_sketch(scanned.filter("kind = 1").select("slice", "part", "counts"))
+    sketch = _sum_sketch(scanned.filter("kind = 1").select("slice", "part", "counts"), bits)
     tokens = base.agg(F.sum("n")).first()[0] or 0
     buckets = min(1 << 30, tokens * (DEN - NUM) // DEN // BUCKET_TOKENS + 1)
 
