@@ -15,8 +15,6 @@ from notelens.sources.readers import html_column
 
 SINGLE = "The retitioning of thorreou, and threea HTTPServer with RAG_VAULT don't"
 TODAY = "2026-06-01"
-#: Queries by vector: the vectors of these ids.
-VECTOR_QUERIES = 20
 #: Queries by vector, as many as the table asks for: ids divisible by this.
 QUERY_EVERY = 100
 QUESTIONS = [
@@ -148,22 +146,11 @@ def bm25_topk_batch(spark, sf_dir):
 _DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@query(
-    f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id, round({_DOT}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id < {VECTOR_QUERIES})
-SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 50"""
-)
-def dense_topk_batch(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    queries_ = vectors.filter(F.col("vec_id") < VECTOR_QUERIES).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return dense.dense_topk(vectors, queries_, ["vec_id"], 50)
-
-
 @query(
     f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id, round({_DOT}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % {QUERY_EVERY} = 0)
 SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 50"""
 )
-def dense_topk_every(spark, sf_dir):
-    """The search of ``dense_topk_batch`` for a query set that grows with the table."""
+def dense_topk_batch(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     queries_ = vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return dense.dense_topk(vectors, queries_, ["vec_id"], 50)
@@ -510,28 +497,24 @@ def noise_hubs(spark, sf_dir):
 # --- evaluation --------------------------------------------------------------------------
 
 
-def _labelled(spark: SparkSession, sf_dir: str, every: int = 11) -> tuple[DataFrame, DataFrame]:
-    """Questions of three words of every 11th (or so) note, which is what they expect; half expect its folder."""
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions of three words of every note that is long enough, which is what they expect; half expect its folder."""
     notes = notes_of(spark, sf_dir)
     w = text.blank_split(F.col("text"))
-    few = notes.filter((F.col("doc_id") % every == 0) & (F.size(w) >= 9))
+    few = notes.filter(F.size(w) >= 9)
     expected = F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.substring_index("path", "/", 2), F.lit("/")))
     return notes, few.select(F.col("doc_id").alias("qid"), F.array_join(F.slice(w, 4, 3), " ").alias("text"), F.array(expected).alias("expected"))
 
 
-_EVAL = f"""WITH {sql.NOTES}, few AS (SELECT doc_id, path, {sql.blank_split('text')} AS w FROM notes WHERE doc_id % 11 = 0),
+_EVAL = f"""WITH {sql.NOTES}, few AS (SELECT doc_id, path, {sql.blank_split('text')} AS w FROM notes),
 asked AS (SELECT doc_id AS qid, array_to_string(list_slice(w, 4, 6), ' ') AS text, CASE WHEN doc_id % 2 = 0 THEN path ELSE split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/' END AS e FROM few WHERE len(w) >= 9),
 {sql.bm25('notes', 'asked')}, top AS ({sql.ranked('scores', 10)}),
 hit AS (SELECT qid, min(rank) AS rank FROM top JOIN asked USING (qid) WHERE path = e OR (e LIKE '%/' AND starts_with(path, e)) GROUP BY qid),
 ranks AS (SELECT asked.qid, hit.rank FROM asked LEFT JOIN hit USING (qid))"""
 
 
-#: The same with a question from every note.
-_EVAL_ALL = _EVAL.replace(" WHERE doc_id % 11 = 0", "")
-
-
-def _ranks(spark: SparkSession, sf_dir: str, every: int = 11) -> DataFrame:
-    notes, asked = _labelled(spark, sf_dir, every)
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes, asked = _labelled(spark, sf_dir)
     return evaluate.eval_ranks(lexical.bm25_topk(notes, asked, ["path"], evaluate.DEPTH), asked)
 
 
@@ -540,11 +523,6 @@ def eval_ranks(spark, sf_dir):
     return _ranks(spark, sf_dir)
 
 
-@query(f"{_EVAL_ALL} SELECT qid, rank FROM ranks")
-def eval_ranks_all(spark, sf_dir):
-    return _ranks(spark, sf_dir, 1)
-
-
 @query(
     f"""{_EVAL} SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS hit5,
 round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM ranks"""
@@ -553,14 +531,6 @@ def eval_metrics(spark, sf_dir):
     return evaluate.eval_metrics(_ranks(spark, sf_dir)).select("n", *[F.round(c, 9).alias(c) for c in ("hit1", "hit5", "mrr")])
 
 
-@query(
-    f"""{_EVAL_ALL} SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS hit5,
-round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM ranks"""
-)
-def eval_metrics_all(spark, sf_dir):
-    return evaluate.eval_metrics(_ranks(spark, sf_dir, 1)).select("n", *[F.round(c, 9).alias(c) for c in ("hit1", "hit5", "mrr")])
-
-
 def _run(offset: int) -> Column:
     place = (F.col("item_id") * 31 + offset) % 13
     return F.when(place < 10, place + 1)

@@ -163,7 +163,7 @@ def test_dense_for_every_hundredth_vector(spark, tmp_path):
     table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
     table.write.parquet(str(tmp_path / "embeddings.parquet"))
     got: dict = {}
-    for row in queries_of_plans.dense_topk_every(spark, str(tmp_path)).collect():
+    for row in queries_of_plans.dense_topk_batch(spark, str(tmp_path)).collect():
         got.setdefault(row["qid"], []).append((row["rank"], row["vec_id"], row["score"]))
     assert sorted(got) == list(range(0, 2600, 100))
     stated = table.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
@@ -183,7 +183,7 @@ def test_dense_for_every_hundredth_vector(spark, tmp_path):
 def test_every_long_note_is_asked_from(spark, tmp_path):
     rows = [(i, " ".join(f"n{i}w{j}" for j in range(8 + i % 2)), "en", "s", 9) for i in range(23)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["qid"]: r["rank"] for r in queries_of_plans.eval_ranks_all(spark, str(tmp_path)).collect()}
+    got = {r["qid"]: r["rank"] for r in queries_of_plans.eval_ranks(spark, str(tmp_path)).collect()}
     assert got == {i: 1 for i in range(1, 23, 2)}
 
 
