@@ -18,7 +18,8 @@ bits and those of the bucket's number.
 
 Defined results: null and empty texts have no words; a null ``doc_id`` is kept; an empty
 table gives no rows; extra columns are passed through by ``removed`` and play no part, but
-for those named as its results, which give way to them.
+for those named as its results, which give way to them. The kept text is put together by Spark
+expressions, row by row: the caller's own Arrow settings make no batches of texts of it.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from notelens.llm.scratch import Scratch, sliced, split_by
+from notelens.llm.scratch import Scratch, split_by
 from notelens.llm.spans import hashed_words, mix, random_words
 
 WINDOW = 35
@@ -261,15 +261,27 @@ def _last_level(candidates: DataFrame, buckets: int) -> DataFrame:
     return candidates.mapInArrow(scan, _Held.SCHEMA).groupBy("bucket").applyInArrow(lambda t: _match(t, np.uint64), FOUND)
 
 
+def _stretches(again: DataFrame) -> DataFrame:
+    """Of each name: ``__gaps`` (at, n), the words that stay before the last window that goes, in order; ``__end`` of that one; ``__gone`` words."""
+    first, n = F.shiftright("span", 32), F.shiftright("span", 2).bitwiseAND(F.lit((1 << 30) - 1))
+    spans = again.select(F.col("name").alias("__name"), first.cast("int").alias("at"), (first + n - 1 + WINDOW).cast("int").alias("end"))
+    spans = spans.groupBy("__name", "at").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("__name").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("so_far", F.coalesce(F.max("end").over(before), F.lit(0)))
+    gap = F.when(F.col("at") > F.col("so_far"), F.struct(F.col("so_far").alias("at"), (F.col("at") - F.col("so_far")).alias("n")))
+    gone = F.greatest(F.col("end") - F.greatest("at", "so_far"), F.lit(0))
+    return spans.groupBy("__name").agg(F.array_sort(F.collect_list(gap)).alias("__gaps"), F.max("end").alias("__end"), F.sum(gone).alias("__gone"))
+
+
 def removed(docs: DataFrame, results: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
     """``docs`` with three ``results``: words, words removed, and what is kept with one space between words."""
     scratch = Scratch(docs.sparkSession, "substring")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in {*map(str.lower, results), "__text", "__name", "__spans"}])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in {*map(str.lower, results), "__name", "__gaps", "__end", "__gone", "__flat", "__total", "__stays"}])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = size // BYTES_A_WORD * 2 // (WINDOW - LEVELS[0] + 2) // BUCKET_ANCHORS + 1
-    named = docs.withColumn("__text", text).withColumn("__name", F.xxhash64("doc_id", "__text"))
-    thin = named.select(F.col("__name").alias("name"), F.col("__text").alias("text"))
+    named = docs.withColumn("__name", F.xxhash64("doc_id", text))
+    thin = named.select(F.col("__name").alias("name"), text.alias("text"))
 
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // JOIN_BYTES)
 
@@ -278,30 +290,21 @@ def removed(docs: DataFrame, results: tuple[str, str, str] = ("n_words", "n_remo
     candidates = thin.repartition(tasks, "name").join(by_name, "name").select("name", "text", "found")
     again = scratch.write(_last_level(candidates, 3 * buckets), "again")
     scratch.drop("found")
-    cut = again.groupBy(F.col("name").alias("__name")).agg(F.collect_set("span").alias("__spans"))
     clear, rest = split_by(named, F.col("__name"), again.select("name"))
-    joined = clear.withColumn("__spans", F.lit(None).cast(cut.schema["__spans"].dataType)).unionByName(rest.repartition(tasks, "__name").join(cut, "__name", "left")).drop("__name")
-    names = docs.columns
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            totals, gone, kept = [], [], []
-            for value, spans in zip(batch.column("__text").to_pylist(), batch.column("__spans"), strict=True):
-                words = value.encode().split()
-                totals.append(len(words))
-                if spans.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    at, n, _ = _places(spans.values.to_numpy())
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n - 1 + WINDOW, -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(stays).tolist()]
-                gone.append(totals[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*names, *results])
-
-    more = [T.StructField(name, kind) for name, kind in zip(results, (T.LongType(), T.LongType(), T.StringType()), strict=True)]
-    return joined.mapInArrow(keep, T.StructType([*docs.schema.fields, *more]))
+    cut = _stretches(again)
+    more = [F.lit(None).cast(cut.schema[c].dataType).alias(c) for c in cut.columns[1:]]
+    joined = clear.select("*", *more).unionByName(rest.repartition(tasks, "__name").join(cut, "__name", "left"))
+
+    flat = F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    # an array of one, so that the lambda's variable holds the words: they are split once, not for each stretch
+    parts = F.transform(F.array(F.split("__flat", " ")), lambda words: F.array_join(F.transform("__stays", lambda s: F.array_join(F.slice(words, s["at"] + 1, s["n"]), " ")), " "))[0]
+    total = F.when(F.col("__flat") == "", 0).otherwise(F.octet_length("__flat") - F.octet_length(F.replace(F.col("__flat"), F.lit(" "), F.lit(""))) + 1).cast("long")
+    n_words, n_removed, kept = results
+    counted = joined.withColumn("__flat", flat).withColumn("__total", total)
+    # what stands behind the last window that goes
+    stays = F.when(F.col("__end") < F.col("__total"), F.concat("__gaps", F.array(F.struct(F.col("__end").alias("at"), (F.col("__total") - F.col("__end")).cast("int").alias("n"))))).otherwise(F.col("__gaps"))
+    whole = counted.withColumn("__stays", stays)
+    return whole.select(*docs.columns, F.col("__total").alias(n_words), F.coalesce("__gone", F.lit(0)).cast("long").alias(n_removed), F.when(F.col("__end").isNull(), F.col("__flat")).otherwise(parts).alias(kept))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -404,6 +404,21 @@ def test_substring_of_words_that_clash_under_linear_hashes(spark):
     assert {(r["n_words"], r["n_removed"]) for r in out} == {(35, 0)}
 
 
+def test_substring_hands_no_texts_to_python_under_the_callers_settings(spark):
+    blank = ["  ", "\t", "\x0b\x0c", "\r\n", " "]
+    a, b = ([f"{c}{i}" for i in range(40)] for c in "ab")
+    own = lambda n, c: [f"{c}.{i}é\xa0" for i in range(n)]
+    # own words before, between and after; passages that overlap or touch; nothing left; nothing but blanks
+    rows = [own(3, "p") + a + own(1, "q") + b + own(2, "r"), a + b[:36], b + a, a[2:] + own(4, "s"), own(50, "t"), []]
+    lines = [blank[i % 5] * (i % 2) + "".join(w + blank[(i + k) % 5] for k, w in enumerate(words)) for i, words in enumerate(rows)] + ["\r \x0b"]
+    kept = [own(3, "p") + own(1, "q") + own(2, "r"), [], [], own(4, "s"), own(50, "t"), [], []]
+    out = substring.removed(docs_of(spark, with_extras(list(enumerate(lines)))))
+    # a batch would be as large as the session's settings let it grow, in the JVM and in each worker
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in ("MapInArrow", "MapInPandas", "ArrowEvalPython", "BatchEvalPython") if x in plan]
+    assert [(r["n_words"], r["n_removed"], r["kept"]) for r in out.orderBy("doc_id").collect()] == [(len(w), len(w) - len(k), " ".join(k)) for w, k in zip([*rows, []], kept, strict=True)]
+
+
 @pytest.mark.parametrize("most", [12, 28])
 def test_substring_of_many_repeated_rows(spark, monkeypatch, most):
     monkeypatch.setattr(scratch, "MOST_BITS", most)  # the least filter lets most rows through, and changes nothing
