@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from notelens.functions import recency
 from notelens.operators.dense import dense_topk
-from notelens.operators.lexical import PLACES, bm25_scores, query_terms, ranked, score_postings
+from notelens.operators.lexical import PLACES, bm25_topk, query_terms, ranked, score_postings
 
 KEYS = ["path", "index"]
 RRF_K, CANDIDATES, RERANK_TOP = 60, 50, 40
@@ -132,8 +132,8 @@ class Searcher:
     embed: Callable[[DataFrame], DataFrame] | None = None
     rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
-    def lexical_scores(self, asked: DataFrame) -> DataFrame:
-        return bm25_scores(self.chunks, asked, KEYS, "embed_text")
+    def lexical_topk(self, asked: DataFrame, k: int) -> DataFrame:
+        return bm25_topk(self.chunks, asked, KEYS, k, "embed_text")
 
     def features(self) -> DataFrame:
         return note_features(self.chunks)
@@ -148,7 +148,7 @@ class Searcher:
         asked = queries.filter(F.length(F.trim("text")) > 0)
         rankings = []
         if mode != "dense":
-            rankings.append(ranked(self.lexical_scores(asked), KEYS, CANDIDATES))
+            rankings.append(self.lexical_topk(asked, CANDIDATES))
         if mode != "bm25":
             rankings.append(dense_topk(self.vectors, self.embed(asked), KEYS, CANDIDATES))
         fused = rrf(rankings)
@@ -180,8 +180,8 @@ class IndexSearcher(Searcher):
         names = ("postings", "term_stats", "corpus_stats", "notes")
         return cls(index.table("chunks"), index.table("vectors"), embed, rerank, *map(index.table, names))
 
-    def lexical_scores(self, asked: DataFrame) -> DataFrame:
-        return score_postings(self.postings, self.term_stats, self.corpus_stats, query_terms(asked), KEYS)
+    def lexical_topk(self, asked: DataFrame, k: int) -> DataFrame:
+        return ranked(score_postings(self.postings, self.term_stats, self.corpus_stats, query_terms(asked), KEYS), KEYS, k)
 
     def features(self) -> DataFrame:
         return self.notes
